@@ -91,3 +91,19 @@ def number_text(c: Column, type_name: str) -> Column:
         scale = int(type_name.rstrip(")").split(",")[1])
         return c.cast("string") if scale == 0 else python_float_text(c)
     return python_float_text(c)
+
+
+def quoted(name: Column) -> Column:
+    """A name in quotes, switching quote style when it holds an apostrophe."""
+    body = F.replace(name, F.lit("\\"), F.lit("\\\\"))
+    both = name.contains("'") & name.contains('"')
+    return (
+        F.when(both, F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
+        .when(name.contains("'"), F.concat(F.lit('"'), body, F.lit('"')))
+        .otherwise(F.concat(F.lit("'"), body, F.lit("'")))
+    )
+
+
+def quoted_list(names: Column) -> Column:
+    """['a', 'b'] for a list of plain names, sorted."""
+    return F.concat(F.lit("['"), F.array_join(F.array_sort(names), "', '"), F.lit("']"))

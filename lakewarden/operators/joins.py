@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.functions.text import alnum_key, table_stem
+from lakewarden.functions.text import alnum_key, quoted, table_stem
 from lakewarden.functions.types import joinable, type_family
 from lakewarden.operators.policy import visible
 from lakewarden.operators.redact import redact_free_text
@@ -54,17 +54,6 @@ def is_key_like(name: Column | str) -> Column:
     return alnum_key(name).rlike(f"(?:{'|'.join(KEY_WORDS)})$")
 
 
-def _quoted(name: Column) -> Column:
-    """A name in quotes, switching quote style when it holds an apostrophe."""
-    body = F.replace(name, F.lit("\\"), F.lit("\\\\"))
-    both = name.contains("'") & name.contains('"')
-    return (
-        F.when(both, F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
-        .when(name.contains("'"), F.concat(F.lit('"'), body, F.lit('"')))
-        .otherwise(F.concat(F.lit("'"), body, F.lit("'")))
-    )
-
-
 def _key_columns(columns_meta: DataFrame) -> DataFrame:
     place = [c for c in ("table_ordinal",) if c in columns_meta.columns]
     keyed = (
@@ -139,8 +128,8 @@ def detect_candidates(columns_meta: DataFrame, *, rows_per_salt: int = ROWS_PER_
     rationale = (
         F.when(
             rule == 0,
-            F.concat(F.lit("column names match after normalization ("), _quoted(F.col("a_column")), F.lit(" ~ "),
-                     _quoted(F.col("b_column")), F.lit(")")),
+            F.concat(F.lit("column names match after normalization ("), quoted(F.col("a_column")), F.lit(" ~ "),
+                     quoted(F.col("b_column")), F.lit(")")),
         )
         .when(rule == 1, says("a", "b"))
         .otherwise(says("b", "a"))
@@ -293,7 +282,7 @@ def mine_query_log(audit: DataFrame, columns_meta: DataFrame, *, latest: int | N
     )
 
 
-def strongest_first(mined: DataFrame) -> list[Column]:
+def strongest_first() -> list[Column]:
     """Sort order of mined joins: most callers, then rationale, then endpoints."""
     return [F.desc("callers"), F.asc("rationale"), *[F.asc(c) for c in EDGE]]
 
