@@ -104,19 +104,23 @@ def redact_columns(
         out = out.withColumns(step)
     final = [F.col(stage[c][-1]).alias(c) if c in stage else F.col(f"`{c}`") for c in names]
     if counts:
-        def hits(c: str, k: int) -> Column:
-            return _mark_count(F.col(stage[c][k]), F.col(stage[c][k + 1]), PII_TYPES[k])
+        # Written as SQL text: one expression per count instead of a dozen calls.
+        def hits(c: str, k: int) -> str:
+            mark = token(PII_TYPES[k])
+            before, after = (
+                f"(length({x}) - length(replace({x}, '{mark}', ''))) div {len(mark)}" for x in stage[c][k : k + 2]
+            )
+            return f"coalesce({after} - {before}, 0L)"
 
         if per_column:
             cells = [
-                F.struct(*[hits(c, k).alias(t) for k, t in enumerate(PII_TYPES)]).alias(c) for c in columns
+                F.expr("struct(" + ", ".join(f"{hits(c, k)} AS {t}" for k, t in enumerate(PII_TYPES)) + ")").alias(c)
+                for c in columns
             ]
+            final.append(F.struct(*cells).alias(counts))
         else:
-            zero = F.lit(0).cast("bigint")
-            cells = [
-                sum((hits(c, k) for c in columns), zero).alias(t) for k, t in enumerate(PII_TYPES)
-            ]
-        final.append((F.struct(*cells) if cells else F.struct()).alias(counts))
+            sums = [" + ".join(["0L", *[hits(c, k) for c in columns]]) + f" AS {t}" for k, t in enumerate(PII_TYPES)]
+            final.append(F.expr(f"struct({', '.join(sums)})").alias(counts))
     return out.select(*final)
 
 

@@ -16,8 +16,6 @@ METERED = ["query", "query_metric"]
 FREE_DATASOURCES, FREE_QUERIES = 5, 1000
 GRACE_DAYS = 30
 
-_BY_MONTH = Window.partitionBy("month")
-
 AUDIT_SCHEMA = (
     "id bigint, timestamp timestamp, action string, resource_type string, resource_id string, "
     "api_key_id string, datasource_id string, details string, success boolean"
@@ -99,14 +97,14 @@ def first_past_cap(metered: DataFrame, cap: int) -> DataFrame:
     """
     second = F.date_trunc("second", "timestamp")
     per_second = metered.groupBy("month", second.alias("second")).agg(F.count(F.lit(1)).alias("n"))
-    in_month = F.sum("n").over(_BY_MONTH.orderBy("second"))
+    in_month = F.sum("n").over(Window.partitionBy("month").orderBy("second"))
     crossing = (
         per_second.withColumn("upto", in_month)
         .filter((F.col("upto") > cap) & (F.col("upto") - F.col("n") <= cap))
         .select("month", "second", (F.lit(cap) - (F.col("upto") - F.col("n"))).alias("left"))
     )
     tied = metered.withColumn("second", second).join(F.broadcast(crossing), ["month", "second"])
-    place = F.row_number().over(_BY_MONTH.orderBy("timestamp", "id"))
+    place = F.row_number().over(Window.partitionBy("month").orderBy("timestamp", "id"))
     # The rank filter keeps only the first rows per task before the shuffle.
     ranked = tied.withColumn("place", place).filter(F.col("place") <= cap + 1)
     return ranked.filter(F.col("place") == F.col("left") + 1).select("month", F.col("timestamp").alias("at"), "id")

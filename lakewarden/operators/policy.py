@@ -114,20 +114,50 @@ def decide(requests: DataFrame, policies: DataFrame, *, default_deny: bool = Fal
         out = out.join(F.broadcast(side) if keys == ["action"] else side, on, "left")
         out = out.drop(*[f"__{k}_{i}" for k in keys])
     parts = [F.col(f"__p{i}") for i in range(len(lookups))]
-    none = F.array().cast("array<string>")
     denied_by = F.least(*[p["denied_by"] for p in parts])
     granted = F.greatest(*[F.coalesce(p["allowed"], F.lit(False)) for p in parts])
-    masks = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(p["masks"], none) for p in parts])))
+    masks = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(p["masks"], _no_names()) for p in parts])))
+    return out.select(*requests.columns, *_verdict(denied_by, granted, masks, F.col("is_admin"), default_deny))
+
+
+def decide_one(
+    policies: DataFrame, subject: str, action: str, datasource_id: str, *, is_admin: bool = False,
+    default_deny: bool = False,
+) -> DataFrame:
+    """The same decision for one access, as one aggregate over the policies."""
+    applies = (
+        F.array_contains("actions", action)
+        & (F.array_contains("subjects", WILDCARD) | F.array_contains("subjects", subject))
+        & F.col("resource_id").isin(WILDCARD, datasource_id)
+    )
+    masks = F.coalesce("mask_columns", _no_names())
+    deny = F.col("effect") == "deny"
+    found = policies.filter(applies).agg(
+        F.min(F.when(deny & (F.size(masks) == 0), F.col("name"))).alias("denied"),
+        F.coalesce(F.bool_or(~deny), F.lit(False)).alias("granted"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(deny, masks))))).alias("masks"),
+    )
+    request = {"subject": subject, "is_admin": is_admin, "action": action, "datasource_id": datasource_id}
+    return found.select(
+        *[F.lit(v).alias(k) for k, v in request.items()],
+        *_verdict(F.col("denied"), F.col("granted"), F.col("masks"), F.lit(is_admin), default_deny),
+    )
+
+
+def _no_names() -> Column:
+    return F.array().cast("array<string>")
+
+
+def _verdict(denied_by: Column, granted: Column, masks: Column, admin: Column, default_deny: bool) -> list[Column]:
+    """Explicit deny beats explicit allow beats the default; admins bypass."""
     refused = F.lit(default_deny) & ~granted
-    admin = F.col("is_admin")
     allowed = admin | (denied_by.isNull() & ~refused)
-    return out.select(
-        *requests.columns,
+    return [
         allowed.alias("allowed"),
         F.when(~admin, denied_by).alias("denied_by"),
         (~admin & denied_by.isNull() & refused).alias("default_denied"),
-        F.when(allowed & ~admin, masks).otherwise(none).alias("masked_columns"),
-    )
+        F.when(allowed & ~admin, masks).otherwise(_no_names()).alias("masked_columns"),
+    ]
 
 
 def deny_reason() -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 from lakewarden.functions import pii
 from lakewarden.operators import audit as audit_ops
 from lakewarden.operators.metrics import render_requests
-from lakewarden.operators.policy import credential_basis, decide, deny_reason, named_mask, strip_masked, visible
+from lakewarden.operators.policy import credential_basis, decide_one, deny_reason, named_mask, strip_masked, visible
 from lakewarden.operators.questions import route_questions
 from lakewarden.operators.redact import redact
-from lakewarden.sources.sqltext import is_select, is_single_statement
+from lakewarden.sources.sqltext import is_select, one_statement
 
 _COPIED_SETTINGS = ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled")
 _COUNTS = "__pii_counts"
@@ -92,11 +93,9 @@ class GovernedSession:
     # --- decisions on one access: one-row frames through the batch operators ---
 
     def decision(self, source_id: str, identity: Identity, action: str = "read") -> dict:
-        request = self.spark.createDataFrame(
-            [(identity.key_id, identity.is_admin, action, source_id)],
-            "subject string, is_admin boolean, action string, datasource_id string",
+        decided = decide_one(
+            self.policies, identity.key_id, action, source_id, is_admin=identity.is_admin, default_deny=self.default_deny
         )
-        decided = decide(request, self.policies, default_deny=self.default_deny)
         row = decided.withColumn("reason", deny_reason()).withColumn("basis", credential_basis(F.col("is_admin"))).first()
         if not row["allowed"]:
             self._log("policy_deny", source_id, identity, {"action": action, "reason": row["reason"]}, success=False)
@@ -104,18 +103,15 @@ class GovernedSession:
         return row.asDict()
 
     def _check_text(self, sql: str, source_id: str, identity: Identity, masked: list[str]) -> None:
-        text = self.spark.createDataFrame([(sql, masked)], "sql string, masks array<string>")
-        seen = text.select(
-            is_select("sql").alias("reads"), is_single_statement("sql").alias("single"),
-            named_mask(F.col("sql"), F.col("masks")).alias("mask"),
-        ).first()
+        masks = F.array(*map(F.lit, masked)).cast("array<string>")
+        seen = self._evaluate(reads=is_select(F.lit(sql)), mask=named_mask(F.lit(sql), masks))
         if seen["mask"] is not None:
             reason = f"query text references masked column '{seen['mask']}'"
             self._log("policy_deny", source_id, identity, {"action": "read", "reason": reason}, success=False)
             raise AccessDenied(reason)
         if not seen["reads"]:
             raise NotReadOnly("only SELECT queries are supported")
-        if not seen["single"]:
+        if not one_statement(sql):
             raise NotReadOnly("only a single statement is allowed")
 
     def _check_quota(self) -> None:
@@ -159,6 +155,8 @@ class GovernedSession:
         for key in _COPIED_SETTINGS:
             session.conf.set(key, self.spark.conf.get(key))
         for name, load in self._sources[source_id].items():
+            if not re.search(rf"\b{re.escape(name)}\b", sql, re.IGNORECASE):
+                continue  # a table the text never names is not read
             view = strip_masked(load(session), masked)
             if mode == "view" and not include_pii:
                 view = redact(view, numeric=numeric)
@@ -189,8 +187,12 @@ class GovernedSession:
 
         return GovernedResult(out, lineage, seen, include_pii, finish)
 
+    def _evaluate(self, **columns) -> dict:
+        """Column expressions over constants: folded on the driver, no job."""
+        return self.spark.sql("SELECT 1").select(*[c.alias(n) for n, c in columns.items()]).first().asDict()
+
     def _redacted(self, text: str) -> str:
-        return self.spark.createDataFrame([(text,)], "t string").select(pii.redact_text("t").alias("t")).first()["t"]
+        return self._evaluate(t=pii.redact_text(F.lit(text)))["t"]
 
     def run_metric(self, metrics: DataFrame, metric_id: str, params: dict, identity: Identity, **options) -> GovernedResult:
         """Fill an approved metric's template and run its `sql` as a governed query."""

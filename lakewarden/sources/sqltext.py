@@ -26,7 +26,7 @@ _OPENERS = re.compile(r"/\*|--[^\n]*|'(?:[^']|'')*+'?|\"(?:[^\"]|\"\")*+\"?|\[(?
 _COMMENT_EDGES = re.compile(r"/\*|\*/")
 
 
-def _one_statement(sql: str) -> bool:
+def one_statement(sql: str) -> bool:
     """No text after the first ';' outside literals, names and comments."""
     at, ended = 0, False
     while True:
@@ -53,7 +53,7 @@ def _one_statement(sql: str) -> bool:
 
 @F.pandas_udf(T.BooleanType())
 def _single(sqls: pd.Series) -> pd.Series:
-    return sqls.map(_one_statement, na_action="ignore")
+    return sqls.map(one_statement, na_action="ignore")
 
 
 def is_single_statement(sql: Column | str) -> Column:
