@@ -21,10 +21,15 @@ PATTERNS = {
 PII_TYPES = tuple(PATTERNS)
 MIN_CARD_DIGITS = 13
 
+# A match starts with one of these; looking for them first spares the costly
+# Unicode boundary test at every other position.
+_STARTS = {"ssn": r"(?=\d)", "phone": r"(?=[\d(+])", "credit_card": r"(?=\d)", "ipv4": r"(?=\d)"}
 # (?U): \d \s \b follow Unicode, and the four separator controls are blanks.
-_JAVA = {k: "(?U)" + p.replace(r"[\s.-]", r"[\s\x1c-\x1f.-]") for k, p in PATTERNS.items()}
+_JAVA = {
+    k: "(?U)" + _STARTS.get(k, "") + p.replace(r"[\s.-]", r"[\s\x1c-\x1f.-]") for k, p in PATTERNS.items()
+}
 # A string without '@' and without a digit cannot match any pattern.
-_MAY_HOLD_PII = r"(?U)[@\d]"
+_MAY_HOLD_PII = r"[@\p{Nd}]"
 
 
 def token(kind: str) -> str:
@@ -95,12 +100,14 @@ def redact_columns(
     """
     names = df.columns
     stage = {c: [f"__pii_{i}_{k}" for k in range(len(PII_TYPES) + 1)] for i, c in enumerate(columns)}
+    may = {c: f"__pii_{i}_may" for i, c in enumerate(columns)}
     out = df.withColumns({stage[c][0]: F.col(f"`{c}`") for c in columns})
+    out = out.withColumns({may[c]: F.col(stage[c][0]).rlike(_MAY_HOLD_PII) for c in columns})
     for k, kind in enumerate(PII_TYPES):
         step = {}
         for c in columns:
             prev = F.col(stage[c][k])
-            step[stage[c][k + 1]] = F.when(prev.rlike(_MAY_HOLD_PII), _one_pass(kind, prev)).otherwise(prev)
+            step[stage[c][k + 1]] = F.when(F.col(may[c]), _one_pass(kind, prev)).otherwise(prev)
         out = out.withColumns(step)
     final = [F.col(stage[c][-1]).alias(c) if c in stage else F.col(f"`{c}`") for c in names]
     if counts:
@@ -110,7 +117,7 @@ def redact_columns(
             before, after = (
                 f"(length({x}) - length(replace({x}, '{mark}', ''))) div {len(mark)}" for x in stage[c][k : k + 2]
             )
-            return f"coalesce({after} - {before}, 0L)"
+            return f"if({may[c]}, {after} - {before}, 0L)"
 
         if per_column:
             cells = [

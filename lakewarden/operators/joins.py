@@ -15,6 +15,7 @@ from lakewarden.functions.types import joinable, type_family
 from lakewarden.operators.policy import visible
 from lakewarden.operators.redact import redact_free_text
 from lakewarden.operators.skew import ROWS_PER_SALT, salted_join
+from lakewarden.session import cut_lineage
 
 # Name endings that mark keys, confidences, and the keywords
 # that can follow a table name without being its alias.
@@ -55,91 +56,76 @@ def is_key_like(name: Column | str) -> Column:
 
 
 def _key_columns(columns_meta: DataFrame) -> DataFrame:
-    place = [c for c in ("table_ordinal",) if c in columns_meta.columns]
+    """One row per key-like column: `place` (its endpoint in enumeration order),
+    norm, stem and family."""
+    order = [c for c in ("table_ordinal",) if c in columns_meta.columns]
     keyed = (
         columns_meta.select(
-            "datasource_id",
-            "table",
-            "column",
-            F.struct("datasource_id", *place, "table", "ordinal").alias("place"),
+            F.struct("datasource_id", *order, "table", "ordinal", "column").alias("place"),
             alnum_key("column").alias("norm"),
             table_stem("table").alias("stem"),
             type_family(F.coalesce("type", F.lit(""))).alias("family"),
         )
-        .filter(is_key_like("column") & F.col("family").isin("numeric", "text"))
+        .filter(is_key_like("place.column") & F.col("family").isin("numeric", "text"))
     )
     # A repeated name in one table is one endpoint, at its first place.
     first = F.min_by(F.struct("place", "norm", "stem", "family"), "place").alias("k")
-    return keyed.groupBy("datasource_id", "table", "column").agg(first).select(
-        "datasource_id", "table", "column", "k.*"
-    )
+    return keyed.groupBy("place.datasource_id", "place.table", "place.column").agg(first).select("k.*")
 
 
 def detect_candidates(columns_meta: DataFrame, *, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """Candidate joins from names and types, as equi-joins.
+    """Candidate joins from names and types, as one equi-join.
 
     Two columns pair when their names agree after normalisation (0.9), or when
-    one names the other's table (0.8). A column name shared by very many
-    tables is a hot key on both joins, so its rows are cut into slices.
+    one names the other's table (0.8). Every column is looked up by its own
+    name among the names the others answer to. A name shared by very many
+    tables is a hot key, so its rows are cut into slices.
     """
-    keys = _key_columns(columns_meta)
-    me = [F.col(c).alias(f"a_{c}") for c in keys.columns]
-    it = [F.col(c).alias(f"b_{c}") for c in keys.columns]
-    spread = ["a_datasource_id", "a_table", "a_column"]
-    elsewhere = (F.col("a_datasource_id") != F.col("b_datasource_id")) | (F.col("a_table") != F.col("b_table"))
-    ok = elsewhere & joinable(F.col("a_family"), F.col("b_family"))
-
-    named = keys.filter(~F.col("norm").isin(KEY_WORDS))
-    same = salted_join(
-        named.select(*me, F.col("norm").alias("key")),
-        named.select(*it, F.col("norm").alias("key")),
-        "key", spread_by=spread, rows_per_salt=rows_per_salt,
-    ).filter(ok & (F.col("a_place") < F.col("b_place")))
-    same = same.select("*", F.lit(0).alias("rule"))
-
-    # What a column elsewhere would be called to name this one's table.
-    calls = F.array_distinct(F.array(F.concat("stem", F.lit("id")), F.concat("stem", "norm")))
-    names = salted_join(
-        keys.select(*me, F.col("norm").alias("key")),
-        keys.select(*it, F.explode(calls).alias("key")),
-        "key", spread_by=spread, rows_per_salt=rows_per_salt,
-    ).filter(ok)
-    earlier = F.col("a_place") < F.col("b_place")
-    forward = names.filter(earlier).select("*", F.lit(1).alias("rule"))
-    swapped = [F.col(f"b_{c}").alias(f"a_{c}") for c in keys.columns] + [
-        F.col(f"a_{c}").alias(f"b_{c}") for c in keys.columns
-    ]
-    backward = names.filter(~earlier).select("key", *swapped, F.lit(2).alias("rule"))
-
-    ends = ["a_datasource_id", "a_table", "a_column", "b_datasource_id", "b_table", "b_column"]
+    keys = cut_lineage(_key_columns(columns_meta))
+    answers = F.array_distinct(
+        F.array(
+            F.struct(F.col("norm").alias("key"), F.lit(True).alias("same")),
+            F.struct(F.concat("stem", F.lit("id")).alias("key"), F.lit(False).alias("same")),
+            F.struct(F.concat("stem", "norm").alias("key"), F.lit(False).alias("same")),
+        )
+    )
+    asking = keys.select(F.col("norm").alias("key"), F.col("place").alias("a"), F.col("family").alias("a_family"))
+    answering = keys.select(F.col("place").alias("b"), F.col("family").alias("b_family"), F.inline(answers))
+    # Bare id/key/code/uuid names pair with nobody by name alone.
+    answering = answering.filter(~F.col("same") | ~F.col("key").isin(KEY_WORDS))
+    a, b = F.col("a"), F.col("b")
+    elsewhere = (a["datasource_id"] != b["datasource_id"]) | (a["table"] != b["table"])
+    found = salted_join(asking, answering, "key", spread_by=["a"], rows_per_salt=rows_per_salt).filter(
+        elsewhere & joinable(F.col("a_family"), F.col("b_family")) & (~F.col("same") | (a < b))
+    )
+    # Rule order: same name, the earlier names the later's table, the reverse.
     best = (
-        same.unionByName(forward).unionByName(backward)
-        .groupBy(*ends)
+        found.select(
+            F.least(a, b).alias("a"), F.greatest(a, b).alias("b"),
+            F.when(F.col("same"), 0).when(a < b, 1).otherwise(2).alias("rule"),
+        )
+        .groupBy("a", "b")
         .agg(F.min("rule").alias("rule"))
     )
     rule = F.col("rule")
 
-    def says(x: str, y: str) -> Column:
+    def says(x: Column, y: Column) -> Column:
         return F.concat(
-            F.col(f"{x}_table"), F.lit("."), F.col(f"{x}_column"), F.lit(" names the "), F.col(f"{y}_table"),
-            F.lit(" table's key ("), F.col(f"{y}_column"), F.lit(")"),
+            x["table"], F.lit("."), x["column"], F.lit(" names the "), y["table"], F.lit(" table's key ("), y["column"],
+            F.lit(")"),
         )
 
-    rationale = (
-        F.when(
-            rule == 0,
-            F.concat(F.lit("column names match after normalization ("), quoted(F.col("a_column")), F.lit(" ~ "),
-                     quoted(F.col("b_column")), F.lit(")")),
-        )
-        .when(rule == 1, says("a", "b"))
-        .otherwise(says("b", "a"))
+    same_name = F.concat(
+        F.lit("column names match after normalization ("), quoted(a["column"]), F.lit(" ~ "), quoted(b["column"]),
+        F.lit(")"),
     )
+    ends = [side[part] for side in (a, b) for part in ("datasource_id", "table", "column")]
     return best.select(
-        *[F.col(e).alias(n) for e, n in zip(ends, EDGE)],
+        *[e.alias(n) for e, n in zip(ends, EDGE)],
         F.lit("candidate_join").alias("kind"),
         F.lit("heuristic").alias("source"),
         F.when(rule == 0, SAME_NAME).otherwise(NAMES_TABLE).alias("confidence"),
-        rationale.alias("rationale"),
+        F.when(rule == 0, same_name).when(rule == 1, says(a, b)).otherwise(says(b, a)).alias("rationale"),
     )
 
 

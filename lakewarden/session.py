@@ -40,3 +40,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             named = tempfile.mkdtemp(prefix="lakewarden-checkpoint-")
         context.setCheckpointDir(named)
     return df.checkpoint()
+
+
+def use_all_cores(df: DataFrame) -> DataFrame:
+    """Spread rows when the input has fewer splits than there are cores, for
+    work that costs far more than moving its rows. Large inputs pass through."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

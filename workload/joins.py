@@ -45,11 +45,12 @@ def join_names(spark, sf_dir):
 @query(
     "join_candidates",
     f"""WITH {_NORMS}, k AS (SELECT * FROM keys WHERE family <> 'temporal' AND regexp_matches(norm, '(id|key|code|uuid)$')),
-    pairs AS (SELECT a.*, b.datasource_id AS ds2, b."table" AS t2, b."column" AS c2, 0 AS rule FROM k a JOIN k b ON a.norm = b.norm
+    n AS (SELECT DISTINCT datasource_id, "table", "column", ordinal, unnest([stem || 'id', stem || norm]) AS called FROM k),
+    pairs AS (SELECT a.datasource_id, a."table", a."column", b.datasource_id AS ds2, b."table" AS t2, b."column" AS c2, 0 AS rule FROM k a JOIN k b ON a.norm = b.norm
         WHERE a.norm NOT IN ('id', 'key', 'code', 'uuid') AND (a.datasource_id, a."table", a.ordinal) < (b.datasource_id, b."table", b.ordinal)
-      UNION ALL SELECT a.*, b.datasource_id, b."table", b."column", 1 FROM k a JOIN k b ON a.norm IN (b.stem || 'id', b.stem || b.norm)
+      UNION ALL SELECT a.datasource_id, a."table", a."column", b.datasource_id, b."table", b."column", 1 FROM k a JOIN n b ON a.norm = b.called
         WHERE (a.datasource_id, a."table", a.ordinal) < (b.datasource_id, b."table", b.ordinal)
-      UNION ALL SELECT a.*, b.datasource_id, b."table", b."column", 2 FROM k a JOIN k b ON b.norm IN (a.stem || 'id', a.stem || a.norm)
+      UNION ALL SELECT a.datasource_id, a."table", a."column", b.datasource_id, b."table", b."column", 2 FROM n a JOIN k b ON b.norm = a.called
         WHERE (a.datasource_id, a."table", a.ordinal) < (b.datasource_id, b."table", b.ordinal)),
     best AS (SELECT datasource_id, "table", "column", ds2, t2, c2, min(rule) AS rule FROM pairs
       WHERE datasource_id <> ds2 OR "table" <> t2 GROUP BY ALL)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lakewarden.functions.pii import PATTERNS, PII_TYPES, luhn_ok, redact_columns
 from lakewarden.operators.redact import pii_profile, redact, redact_free_text, total_counts
+from lakewarden.session import use_all_cores
 from workload.registry import query, table
 
 
@@ -73,7 +74,7 @@ def _redacted(df, key, text):
     f"WITH {redaction_ctes('documents', 'doc_id', 'text')} SELECT doc_id, t AS redacted, {NAMED_COUNTS} FROM r5",
 )
 def pii_redact_documents(spark, sf_dir):
-    return _redacted(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return _redacted(use_all_cores(table(spark, sf_dir, "documents")), ["doc_id"], "text")
 
 
 @query(
@@ -81,7 +82,7 @@ def pii_redact_documents(spark, sf_dir):
     f"WITH {redaction_ctes('pages', 'page_id', 'html')} SELECT page_id, t AS redacted, {NAMED_COUNTS} FROM r5",
 )
 def pii_redact_pages(spark, sf_dir):
-    return _redacted(table(spark, sf_dir, "pages"), ["page_id"], "html")
+    return _redacted(use_all_cores(table(spark, sf_dir, "pages")), ["page_id"], "html")
 
 
 @query(
@@ -90,7 +91,7 @@ def pii_redact_pages(spark, sf_dir):
     f"SELECT conv_id, turn, t AS redacted, {NAMED_COUNTS} FROM r5",
 )
 def pii_redact_conversations(spark, sf_dir):
-    return _redacted(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+    return _redacted(use_all_cores(table(spark, sf_dir, "conversations")), ["conv_id", "turn"], "text")
 
 
 @query(
@@ -100,7 +101,7 @@ def pii_redact_conversations(spark, sf_dir):
     + " FROM r5 GROUP BY lang",
 )
 def pii_counts_by_lang(spark, sf_dir):
-    rows = redact_columns(table(spark, sf_dir, "documents").select("lang", "text"), ["text"], counts="n")
+    rows = redact_columns(use_all_cores(table(spark, sf_dir, "documents")).select("lang", "text"), ["text"], counts="n")
     return rows.groupBy("lang").agg(*[F.sum(f"n.{t}").alias(t) for t in PII_TYPES])
 
 
@@ -118,7 +119,7 @@ _PROFILE = " UNION ALL ".join(
     f"{redaction_ctes('documents', 'doc_id', 'source', 'c')} SELECT * FROM ({_PROFILE}) WHERE hits > 0",
 )
 def pii_profile_documents(spark, sf_dir):
-    return pii_profile(table(spark, sf_dir, "documents"), ["text", "lang", "source"])
+    return pii_profile(use_all_cores(table(spark, sf_dir, "documents")), ["text", "lang", "source"])
 
 
 @query(
@@ -130,7 +131,7 @@ def pii_profile_documents(spark, sf_dir):
     + ") WHERE hits > 0",
 )
 def pii_totals_documents(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = use_all_cores(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return total_counts(redact(docs, numeric="skip", counts="n"), "n")
 
 
@@ -141,7 +142,7 @@ def pii_totals_documents(spark, sf_dir):
       {', '.join(f'3 * n{k} AS {t}' for k, t in enumerate(PII_TYPES, 1))} FROM r5""",
 )
 def pii_nested_rows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = use_all_cores(table(spark, sf_dir, "documents"))
     nested = docs.select(
         "doc_id",
         F.struct("text", "lang").alias("body"),
@@ -188,4 +189,4 @@ def luhn_numbers(spark, sf_dir):
 )
 def free_text_hygiene(spark, sf_dir):
     # The cut at 500 characters is what this operator does to descriptions.
-    return table(spark, sf_dir, "documents").select("doc_id", redact_free_text("text").alias("note"))
+    return use_all_cores(table(spark, sf_dir, "documents")).select("doc_id", redact_free_text("text").alias("note"))
