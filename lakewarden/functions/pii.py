@@ -80,16 +80,6 @@ def redact_text(c: Column | str) -> Column:
     return F.when(text.rlike(_MAY_HOLD_PII), passes(text)).otherwise(text)
 
 
-def _occurrences(text: Column, kind: str) -> Column:
-    mark = token(kind)
-    return (F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / len(mark)
-
-
-def _mark_count(before: Column, after: Column, kind: str) -> Column:
-    added = (_occurrences(after, kind) - _occurrences(before, kind)).cast("bigint")
-    return F.coalesce(added, F.lit(0).cast("bigint"))
-
-
 def redact_columns(
     df: DataFrame, columns: list[str], *, counts: str | None = None, per_column: bool = False
 ) -> DataFrame:
@@ -131,23 +121,6 @@ def redact_columns(
     return out.select(*final)
 
 
-def count_text(c: Column | str) -> Column:
-    """Per-type counts of one string as a struct (for nested leaves)."""
-    def fold(values: list[Column]) -> Column:
-        return F.struct(
-            *[_mark_count(values[k], values[k + 1], t).alias(t) for k, t in enumerate(PII_TYPES)]
-        )
-
-    def chain(values: list[Column], k: int) -> Column:
-        if k == len(PII_TYPES):
-            return fold(values)
-        return let(_one_pass(PII_TYPES[k], values[-1]), lambda nxt: chain([*values, nxt], k + 1))
-
-    text = col(c)
-    none = F.struct(*[F.lit(0).cast("bigint").alias(t) for t in PII_TYPES])
-    return F.when(text.rlike(_MAY_HOLD_PII), let(text, lambda t: chain([t], 0))).otherwise(none)
-
-
 # --- names of columns and fields: plan-time metadata, a handful of strings ----
 
 def redact_name(name: str) -> str:

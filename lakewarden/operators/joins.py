@@ -183,14 +183,20 @@ def table_lookup(columns_meta: DataFrame) -> DataFrame:
     place = F.struct(*[c for c in ("table_ordinal",) if c in columns_meta.columns], F.lit(0))
     tables = columns_meta.groupBy("datasource_id", "table").agg(F.min(place).alias("place"))
     order = F.struct("place", "table")
-    exact = tables.groupBy("datasource_id", F.lower("table").alias("lookup")).agg(
-        F.max_by("table", order).alias("exact")
-    )
-    stems = tables.groupBy("datasource_id", table_stem("table").alias("lookup")).agg(
-        F.min_by("table", order).alias("stem")
+    called = tables.select(
+        "datasource_id", "table", order.alias("at"),
+        F.inline(
+            F.array(
+                F.struct(F.lower("table").alias("lookup"), F.lit(True).alias("exact")),
+                F.struct(table_stem("table").alias("lookup"), F.lit(False).alias("exact")),
+            )
+        ),
     )
-    return exact.join(stems, ["datasource_id", "lookup"], "full_outer").select(
-        "datasource_id", "lookup", F.coalesce("exact", "stem").alias("table")
+    # Of equal names the last counts, of equal stems the first.
+    return called.groupBy("datasource_id", "lookup").agg(
+        F.coalesce(
+            F.max_by("table", F.when(F.col("exact"), F.col("at"))), F.min_by("table", "at")
+        ).alias("table")
     )
 
 

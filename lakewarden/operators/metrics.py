@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.functions.text import col, python_float_text, quoted, quoted_list
+from lakewarden.functions.text import col, let, python_float_text, quoted, quoted_list
 from lakewarden.operators.redact import redact_free_text
 
 # What placeholders, names and string values may look like.
@@ -51,19 +51,17 @@ def _plain_text(json: Column) -> Column:
 
 def checked_value(name: Column, kind: Column, json: Column) -> Column:
     """struct<text,error>: how one parameter value renders, or why it may not."""
-    number, text = _number_text(json), _plain_text(json)
-    inert = F.coalesce(text.rlike(STRING_VALUE) & ~text.contains("--"), F.lit(False))
-    label = F.concat(F.lit("parameter "), quoted(name))
-    error = F.when(
-        (kind == "number") & number.isNull(), F.concat(label, F.lit(" must be a finite number"))
-    ).when(
-        (kind != "number") & ~inert,
-        F.concat(
-            label,
-            F.lit(" contains disallowed characters (allowed: letters, digits, space, _ . @ -, no '--', max 200)"),
-        ),
-    )
-    return F.struct(F.when(kind == "number", number).otherwise(text).alias("text"), error.alias("error"))
+    def judged(v: Column) -> Column:
+        number, text = v["number"], v["text"]
+        inert = F.coalesce(text.rlike(STRING_VALUE) & ~text.contains("--"), F.lit(False))
+        label = F.concat(F.lit("parameter "), quoted(name))
+        disallowed = " contains disallowed characters (allowed: letters, digits, space, _ . @ -, no '--', max 200)"
+        error = F.when(
+            (kind == "number") & number.isNull(), F.concat(label, F.lit(" must be a finite number"))
+        ).when((kind != "number") & ~inert, F.concat(label, F.lit(disallowed)))
+        return F.struct(F.when(kind == "number", number).otherwise(text).alias("text"), error.alias("error"))
+
+    return let(F.struct(_number_text(json).alias("number"), F.when(kind != "number", _plain_text(json)).alias("text")), judged)
 
 
 def _first(errors: Column) -> Column:

@@ -7,29 +7,65 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewarden.functions import pii
-from lakewarden.functions.text import col, number_text
+from lakewarden.functions.text import col, let, number_text
 
 FREE_TEXT_CAP = 500
-# Below twelve zeros a whole number has too few digits to be a card.
-_CARD_FLOOR = 10 ** (pii.MIN_CARD_DIGITS - 1)
+MAX_CARD_DIGITS = 16
+_LEAVES = "__leaves"
 
 
 def is_numeric(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.NumericType)
 
 
-def numeric_hit(c: Column, dtype: T.DataType) -> Column:
-    """Does this number, printed, read as a card number? No other pattern can
-    match a number's digits: the rest need separators or an '@'."""
-    text = number_text(c, dtype.simpleString())
-    hit = pii.redact_text(text) != text
+def _number_parts(c: Column, dtype: T.DataType) -> Column:
+    """struct<sign,whole,fraction,whole_hit,fraction_hit> of a printed number.
+
+    Only the card pass can match a number: the others need separators or an
+    '@'. A card is a whole run of 13 to 16 digits, so each side of the point is
+    checked as it stands; in powers of ten the digits touch the 'e', which is
+    no boundary.
+    """
+    def card(run: Column) -> Column:
+        plain = F.length(run).between(pii.MIN_CARD_DIGITS, MAX_CARD_DIGITS) & ~run.contains("e")
+        return F.when(plain, F.call_function("luhn_check", run)).otherwise(False)
+
+    def parts(text: Column) -> Column:
+        body = F.ltrim(text, F.lit("-"))
+        pointed = body.contains(".")
+        whole = F.substring_index(body, ".", 1)
+        fraction = F.when(pointed, F.substring_index(body, ".", -1)).otherwise("")
+        return F.struct(
+            F.when(text.startswith("-"), "-").otherwise("").alias("sign"), whole.alias("whole"), fraction.alias("fraction"),
+            card(whole).alias("whole_hit"), card(fraction).alias("fraction_hit"),
+        )
+
+    return let(number_text(c, dtype.simpleString()), parts)
+
+
+def numeric_hits(c: Column, dtype: T.DataType) -> Column:
+    """How many card numbers a number reads as (bigint)."""
     if isinstance(dtype, T.IntegralType):
-        return (F.abs(c.cast("decimal(20,0)")) >= F.lit(_CARD_FLOOR)) & hit
-    return F.coalesce(hit, F.lit(False))
+        digits = F.ltrim(c.cast("string"), F.lit("-"))
+        long_enough = F.length(digits).between(pii.MIN_CARD_DIGITS, MAX_CARD_DIGITS)
+        return F.when(long_enough & F.call_function("luhn_check", digits), 1).otherwise(0).cast("bigint")
+    found = let(_number_parts(c, dtype), lambda p: p["whole_hit"].cast("bigint") + p["fraction_hit"].cast("bigint"))
+    return F.coalesce(found, F.lit(0).cast("bigint"))
 
 
 def numeric_as_text(c: Column, dtype: T.DataType) -> Column:
-    return pii.redact_text(number_text(c, dtype.simpleString()))
+    """The printed number, card numbers replaced."""
+    mark = F.lit(pii.token("credit_card"))
+
+    def shown(p: Column) -> Column:
+        return F.concat(
+            p["sign"],
+            F.when(p["whole_hit"], mark).otherwise(p["whole"]),
+            F.when(p["fraction"] == "", "").otherwise("."),
+            F.when(p["fraction_hit"], mark).otherwise(p["fraction"]),
+        )
+
+    return F.when(c.isNotNull(), let(_number_parts(c, dtype), shown))
 
 
 def _last_entry_per_key(entries: Column) -> Column:
@@ -72,52 +108,37 @@ def _named(struct: T.StructType) -> list[tuple[str, T.StructField]]:
     return list(last.items())
 
 
-def _counts_of(c: Column, dtype: T.DataType, numbers: bool) -> list[Column]:
-    """Arrays of count structs for every string leaf below a value."""
-    def none() -> Column:
-        return F.array().cast(_COUNTS)
+def _leaves(c: Column, dtype: T.DataType, pick, kind: str) -> list[Column]:
+    """Arrays that together hold pick(leaf) for every leaf it accepts."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def below(v: Column, *types: tuple[Column, T.DataType]) -> Column:
+        parts = [x for child, t in types for x in _leaves(child, t, pick, kind)]
+        return F.concat(none, *parts)
 
-    if isinstance(dtype, T.StringType):
-        return [F.array(pii.count_text(c))]
     if isinstance(dtype, T.StructType):
-        return [x for f in dtype.fields for x in _counts_of(c[f.name], f.dataType, numbers)]
+        return [x for f in dtype.fields for x in _leaves(c[f.name], f.dataType, pick, kind)]
     if isinstance(dtype, T.ArrayType):
-        inner = F.transform(c, lambda v: _joined(_counts_of(v, dtype.elementType, numbers), none()))
-        return [F.coalesce(F.flatten(inner), none())]
+        return [F.coalesce(F.flatten(F.transform(c, lambda v: below(v, (v, dtype.elementType)))), none)]
     if isinstance(dtype, T.MapType):
-        inner = F.transform(
-            F.map_entries(c),
-            lambda e: _joined(
-                _counts_of(e["key"], dtype.keyType, numbers) + _counts_of(e["value"], dtype.valueType, numbers),
-                none(),
-            ),
-        )
-        return [F.coalesce(F.flatten(inner), none())]
-    if numbers and is_numeric(dtype):
-        return [F.array(pii.count_text(number_text(c, dtype.simpleString())))]
-    return []
+        pairs = F.map_entries(c)
+        both = F.transform(pairs, lambda e: below(e, (e["key"], dtype.keyType), (e["value"], dtype.valueType)))
+        return [F.coalesce(F.flatten(both), none)]
+    leaf = pick(c, dtype)
+    return [] if leaf is None else [F.array(leaf)]
 
 
-_COUNTS = "array<struct<" + ",".join(f"{t}:bigint" for t in pii.PII_TYPES) + ">>"
+def _leaf_text(numbers: bool):
+    def pick(c: Column, dtype: T.DataType) -> Column | None:
+        if isinstance(dtype, T.StringType):
+            return c
+        return number_text(c, dtype.simpleString()) if numbers and is_numeric(dtype) else None
 
+    return pick
 
-def _joined(parts: list[Column], none: Column) -> Column:
-    return F.concat(*parts) if parts else none
 
-
-def nested_counts(c: Column, dtype: T.DataType, numbers: bool = False) -> Column:
-    """One struct of totals per type over all leaves of a nested value."""
-    parts = _counts_of(c, dtype, numbers)
-    zero = F.struct(*[F.lit(0).cast("bigint").alias(t) for t in pii.PII_TYPES])
-    if not parts:
-        return zero
-    return F.aggregate(
-        _joined(parts, F.lit(None)),
-        zero,
-        lambda acc, n: F.struct(
-            *[(acc[t] + F.coalesce(n[t], F.lit(0).cast("bigint"))).alias(t) for t in pii.PII_TYPES]
-        ),
-    )
+def _number_hits(c: Column, dtype: T.DataType) -> Column | None:
+    return numeric_hits(c, dtype) if is_numeric(dtype) else None
 
 
 def _holds_number(dtype: T.DataType) -> bool:
@@ -137,12 +158,8 @@ def columns_with_numeric_pii(df: DataFrame) -> list[str]:
         if not _holds_number(f.dataType):
             continue
         c = F.col(f"`{f.name}`")
-        if is_numeric(f.dataType):
-            hit = numeric_hit(c, f.dataType)
-        else:
-            total = nested_counts(c, f.dataType, numbers=True)["credit_card"]
-            hit = total > nested_counts(c, f.dataType)["credit_card"]
-        probes.append(F.bool_or(hit).alias(f.name))
+        hits = F.concat(*_leaves(c, f.dataType, _number_hits, "bigint"))
+        probes.append(F.bool_or(F.exists(hits, lambda n: n > 0)).alias(f.name))
     if not probes:
         return []
     found = df.agg(*probes).first().asDict()
@@ -164,30 +181,24 @@ def redact(df: DataFrame, *, numeric: str = "probe", counts: str | None = None)
     else:
         as_text = set(columns_with_numeric_pii(df)) if numeric == "probe" else set()
     flat = []
-    prepared = {}
-    deep: dict[str, Column] = {}
-    deep_counts = []
+    replaced: dict[str, Column] = {}
+    leaves = []
     for f in fields:
         c = F.col(f"`{f.name}`")
+        numbers = f.name in as_text
         if isinstance(f.dataType, T.StringType):
             flat.append(f.name)
-        elif is_numeric(f.dataType):
-            if f.name in as_text:
-                prepared[f.name] = number_text(c, f.dataType.simpleString())
-                flat.append(f.name)
-        elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
-            deep[f.name] = redact_value(c, f.dataType, f.name in as_text)
-            if counts:
-                deep_counts.append(nested_counts(c, f.dataType, f.name in as_text))
-    out = df.withColumns(prepared) if prepared else df
+        elif numbers or isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            replaced[f.name] = redact_value(c, f.dataType, numbers)
+            leaves += _leaves(c, f.dataType, _leaf_text(numbers), "string")
+    out = df
+    if counts and leaves:
+        # Leaves are counted as one text: no pattern can match across a NUL.
+        out = df.withColumn(_LEAVES, F.array_join(F.concat(*leaves), "\0"))
+        flat = [*flat, _LEAVES]
     out = pii.redact_columns(out, flat, counts=counts)
-    if counts and deep_counts:
-        total = F.struct(
-            *[sum((d[t] for d in deep_counts), F.col(counts)[t]).alias(t) for t in pii.PII_TYPES]
-        )
-        out = out.withColumn(counts, total)
-    if deep:
-        out = out.withColumns(deep)
+    if replaced:
+        out = out.withColumns(replaced)
     keep: dict[str, str] = {}
     for name in df.columns:
         keep[pii.redact_name(name)] = name

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lakewarden.operators import metrics as M
 from lakewarden.operators import questions as N
+from lakewarden.session import use_all_cores
 from workload.registry import DERIVED, derive, query
 
 # One draft metric per part; templates and parameters are flawed on purpose here and there.
@@ -82,7 +83,7 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 29 = 0 THEN 'candidate' ELSE 'approved
       CASE WHEN n = '' THEN '10' ELSE n END, '"}}}}') END AS request FROM v""",
 )
 def metric_requests(spark, sf_dir):
-    calls = derive(spark, sf_dir, "metric_calls")
+    calls = use_all_cores(derive(spark, sf_dir, "metric_calls"))
     params = f"""from_json('[{{"name":"kind","type":"string","has_default":false}},{{"name":"n","type":"number","default":"10","has_default":true}}]',
       '{M.PARAMS_TYPE}')"""
     bound = F.map_filter(
