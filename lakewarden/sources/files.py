@@ -64,11 +64,14 @@ def read_csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
         *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names],
         F.lit(None).cast("array<string>").alias("_extra"),
     )
-    cells = rows.filter(F.col(_RAW).isNotNull()).select(_cells(_RAW).alias("cells"))
-    over = F.size("cells") > len(names)
-    ragged = cells.filter(F.size("cells") > 0).select(
-        *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(names)],
-        F.when(over, F.slice("cells", len(names) + 1, F.greatest(F.size("cells") - len(names), F.lit(1)))).alias("_extra"),
+    cells = rows.filter(F.col(_RAW).isNotNull()).withColumn("__cells", _cells(_RAW)).filter(F.size("__cells") > 0)
+    found, width = F.col("__cells"), F.size("__cells")
+    # The parsed columns stay in the plan: Spark reads no file for the raw record alone.
+    ragged = cells.select(
+        *[F.when(found.isNotNull(), F.get(found, F.lit(i))).otherwise(F.col(f"`{c}`")).alias(c) for i, c in enumerate(names)],
+        F.when(
+            width > len(names), F.slice(found, len(names) + 1, F.greatest(width - len(names), F.lit(1)))
+        ).alias("_extra"),
     )
     return even.unionByName(ragged)
 
