@@ -200,25 +200,42 @@ def table_lookup(columns_meta: DataFrame) -> DataFrame:
     )
 
 
-def _endpoint(joins: DataFrame, lookup: DataFrame, live: DataFrame, side: str) -> DataFrame:
-    """Resolve one endpoint against the live schema; unknown ones drop out."""
-    table, column = f"{side}_table", f"{side}_column"
-
-    def named(alias: str) -> DataFrame:
-        return lookup.select("datasource_id", F.col("lookup").alias(f"__{alias}"), F.col("table").alias(f"__t_{alias}"))
-
-    out = (
-        joins.withColumns({"__name": F.lower(table), "__stem": table_stem(table)})
-        .join(named("name"), ["datasource_id", "__name"], "left")
-        .join(named("stem"), ["datasource_id", "__stem"], "left")
-        .withColumn(table, F.coalesce("__t_name", "__t_stem"))
-        .withColumn("__col", F.lower(column))
-        .drop("__name", "__stem", "__t_name", "__t_stem", column)
+def _resolve_endpoints(joins: DataFrame, columns_meta: DataFrame) -> DataFrame:
+    """Both endpoints of every written join, checked against the live schema;
+    a join with an unknown table or column drops out.
+
+    The two ends are looked up together as rows and folded back, so the schema
+    is joined once per step and not once per end.
+    """
+    lookup = table_lookup(columns_meta)
+    live = columns_meta.groupBy("datasource_id", "table", F.lower("column").alias("__col")).agg(
+        F.max_by("column", "ordinal").alias("column")
+    )
+    written = ["datasource_id", "caller", "left_table", "left_column", "right_table", "right_column"]
+    ends = joins.select(
+        *written, "runs",
+        F.posexplode(
+            F.array(
+                *[F.struct(F.col(f"{s}_table").alias("t"), F.lower(f"{s}_column").alias("c")) for s in ("left", "right")]
+            )
+        ).alias("side", "end"),
+    ).withColumns({"__name": F.lower("end.t"), "__stem": table_stem("end.t"), "__col": F.col("end.c")})
+
+    def by(alias: str) -> DataFrame:
+        return lookup.select("datasource_id", F.col("lookup").alias(f"__{alias}"), F.col("table").alias(f"__by_{alias}"))
+
+    found = (
+        ends.join(by("name"), ["datasource_id", "__name"], "left")
+        .join(by("stem"), ["datasource_id", "__stem"], "left")
+        .withColumn("table", F.coalesce("__by_name", "__by_stem"))
+        .join(live, ["datasource_id", "table", "__col"])
     )
-    columns = live.select(
-        "datasource_id", F.col("table").alias(table), F.col("lookup").alias("__col"), F.col("column").alias(column)
+    at = F.struct("table", "column")
+    folded = found.groupBy(*written).agg(
+        F.max("runs").alias("runs"),
+        F.max(F.when(F.col("side") == 0, at)).alias("left"), F.max(F.when(F.col("side") == 1, at)).alias("right"),
     )
-    return out.join(columns, ["datasource_id", table, "__col"]).drop("__col")
+    return folded.filter(F.col("left").isNotNull() & F.col("right").isNotNull())
 
 
 def mine_query_log(audit: DataFrame, columns_meta: DataFrame, *, latest: int | None = None) -> DataFrame:
@@ -239,21 +256,8 @@ def mine_query_log(audit: DataFrame, columns_meta: DataFrame, *, latest: int | N
     joins = joins.groupBy(
         "datasource_id", "caller", "left_table", "left_column", "right_table", "right_column"
     ).agg(F.sum("runs").alias("runs"))
-    lookup = table_lookup(columns_meta)
-    live = columns_meta.groupBy("datasource_id", "table", F.lower("column").alias("lookup")).agg(
-        F.max_by("column", "ordinal").alias("column")
-    )
-    joins = _endpoint(_endpoint(joins, lookup, live, "left"), lookup, live, "right")
-    edges = joins.select(
-        "caller",
-        "runs",
-        "datasource_id",
-        F.array_sort(
-            F.array(
-                F.struct(F.col("left_table").alias("table"), F.col("left_column").alias("column")),
-                F.struct(F.col("right_table").alias("table"), F.col("right_column").alias("column")),
-            )
-        ).alias("ends"),
+    edges = _resolve_endpoints(joins, columns_meta).select(
+        "caller", "runs", "datasource_id", F.array_sort(F.array("left", "right")).alias("ends")
     )
     per_caller = edges.groupBy("datasource_id", "ends", "caller").agg(F.sum("runs").alias("runs"))
     per_edge = per_caller.groupBy("datasource_id", "ends").agg(

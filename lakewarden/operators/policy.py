@@ -89,31 +89,30 @@ def _effects_by_key(policies: DataFrame) -> DataFrame:
 def decide(requests: DataFrame, policies: DataFrame, *, default_deny: bool = False) -> DataFrame:
     """Adds allowed, denied_by, default_denied and masked_columns to requests.
 
-    A request matches a policy by exact or wildcard subject and resource: four
+    A request matches a policy by exact or wildcard subject and resource: three
     lookups into unique-key tables, so requests keep their partitioning and a
     small policy table is broadcast by its measured size. Nothing is exploded
     on the request side, so '*' never becomes a hot shuffle key.
     """
     effects = _effects_by_key(policies)
+    what = F.struct("denied_by", "allowed", "masks")
     any_subject, any_resource = F.col("subject") == WILDCARD, F.col("resource_id") == WILDCARD
     lookups = [
-        (effects.filter(~any_subject & ~any_resource), ["action", "subject", "resource_id"]),
-        (effects.filter(~any_subject & any_resource), ["action", "subject"]),
-        (effects.filter(any_subject & ~any_resource), ["action", "resource_id"]),
-        (effects.filter(any_subject & any_resource), ["action"]),
+        (effects.filter(~any_subject & ~any_resource), {"action": "action", "subject": "subject", "resource_id": "datasource_id"}),
+        (effects.filter(~any_subject & any_resource), {"action": "action", "subject": "subject"}),
+        (effects.filter(any_subject & ~any_resource), {"action": "action", "resource_id": "datasource_id"}),
     ]
-    source_key = {"action": "action", "subject": "subject", "resource_id": "datasource_id"}
     out = requests
     for i, (table, keys) in enumerate(lookups):
-        side = table.select(
-            *[F.col(k).alias(f"__{k}_{i}") for k in keys],
-            F.struct("denied_by", "allowed", "masks").alias(f"__p{i}"),
-        )
-        on = [F.col(source_key[k]) == F.col(f"__{k}_{i}") for k in keys]
-        # Only (action) keys are left here: at most one row per action.
-        out = out.join(F.broadcast(side) if keys == ["action"] else side, on, "left")
+        side = table.select(*[F.col(k).alias(f"__{k}_{i}") for k in keys], what.alias(f"__p{i}"))
+        out = out.join(side, [F.col(mine) == F.col(f"__{k}_{i}") for k, mine in keys.items()], "left")
         out = out.drop(*[f"__{k}_{i}" for k in keys])
-    parts = [F.col(f"__p{i}") for i in range(len(lookups))]
+    # Policies for everyone on everything: one value per action, no join.
+    everywhere = effects.filter(any_subject & any_resource)
+    per_action = [everywhere.filter(F.col("action") == a).select(what).scalar() for a in ACTIONS]
+    chosen = F.when(F.col("action") == ACTIONS[0], per_action[0]).when(F.col("action") == ACTIONS[1], per_action[1])
+    out = out.withColumn(f"__p{len(lookups)}", chosen)
+    parts = [F.col(f"__p{i}") for i in range(len(lookups) + 1)]
     denied_by = F.least(*[p["denied_by"] for p in parts])
     granted = F.greatest(*[F.coalesce(p["allowed"], F.lit(False)) for p in parts])
     masks = F.array_sort(F.array_distinct(F.concat(*[F.coalesce(p["masks"], _no_names()) for p in parts])))
@@ -179,16 +178,28 @@ def visible(
     is_admin: bool = False, default_deny: bool = False,
 ) -> DataFrame:
     """Rows of a listing whose source the subject may discover."""
-    asked = listing.select(F.col(id_column).alias("datasource_id")).distinct().select(
-        "datasource_id",
-        F.lit(subject).alias("subject"),
-        F.lit(is_admin).alias("is_admin"),
-        F.lit("discover").alias("action"),
-    )
-    seen = decide(asked, policies, default_deny=default_deny).filter("allowed").select(
-        F.col("datasource_id").alias(id_column)
+    if is_admin:
+        return listing
+    applies = F.array_contains("actions", "discover") & (
+        F.array_contains("subjects", WILDCARD) | F.array_contains("subjects", subject)
     )
-    return listing.join(seen, id_column, "left_semi")
+    deny = F.col("effect") == "deny"
+    blocks = deny & (F.size(F.coalesce("mask_columns", _no_names())) == 0)
+    facts = [
+        F.coalesce(F.bool_or(blocks), F.lit(False)).alias("__blocked"),
+        F.coalesce(F.bool_or(~deny), F.lit(False)).alias("__granted"),
+    ]
+    relevant = policies.filter(applies)
+    everywhere = F.col("resource_id") == WILDCARD
+    overall = relevant.filter(everywhere).agg(*facts)
+    by_source = relevant.filter(~everywhere).groupBy(F.col("resource_id").alias("__id")).agg(*facts)
+
+    def either(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(False)) | overall.select(name).scalar()
+
+    joined = listing.join(by_source, F.col(id_column) == F.col("__id"), "left")
+    seen = joined.filter(~either("__blocked") & (either("__granted") | F.lit(not default_deny)))
+    return seen.select(*listing.columns)
 
 
 def review_access(pairs: DataFrame, policies: DataFrame, *, default_deny: bool = False) -> DataFrame:

@@ -119,9 +119,9 @@ def schema_owner_names(spark, sf_dir):
 def source_listing(spark, sf_dir):
     registry = derive(spark, sf_dir, "orders").select(F.expr("concat('src', o_orderkey % 15)").alias("id")).distinct()
     registry = registry.withColumn("name", F.concat(F.lit("source "), "id"))
-    hide = spark.sql(
-        "SELECT 'hide' AS name, 'deny' AS effect, 'src3' AS resource_id, array('discover') AS actions, array('reader') AS subjects, "
-        "CAST(NULL AS array<string>) AS mask_columns"
+    hide = derive(spark, sf_dir, "region").filter("r_name = 'AFRICA'").selectExpr(
+        "r_name AS name", "'deny' AS effect", "concat('src', r_regionkey + 3) AS resource_id", "array('discover') AS actions",
+        "array('reader') AS subjects", "CAST(NULL AS array<string>) AS mask_columns",
     )
     return D.source_listing(registry, columns_meta(spark, sf_dir), hide, "reader")
 

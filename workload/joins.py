@@ -149,8 +149,8 @@ def join_proposals_refused(spark, sf_dir):
 def _propose(spark, sf_dir):
     meta = columns_meta(spark, sf_dir)
     registry = meta.select(F.col("datasource_id").alias("id")).distinct()
-    hidden = spark.sql(
-        "SELECT 'hide' AS name, 'deny' AS effect, 'src4' AS resource_id, array('discover') AS actions, array('*') AS subjects, "
-        "CAST(NULL AS array<string>) AS mask_columns"
+    hidden = derive(spark, sf_dir, "region").filter("r_name = 'AFRICA'").selectExpr(
+        "r_name AS name", "'deny' AS effect", "concat('src', r_regionkey + 4) AS resource_id", "array('discover') AS actions",
+        "array('*') AS subjects", "CAST(NULL AS array<string>) AS mask_columns",
     )
     return J.propose_relationships(derive(spark, sf_dir, "proposals"), meta, registry, hidden, "agent")

@@ -138,7 +138,7 @@ DERIVED["policy_rows"] = "SELECT concat('p', s_suppkey) AS name, concat('crm', s
     UNION ALL SELECT 'policy', name FROM {policy_rows} WHERE resource_id <> 'crm1'""",
 )
 def source_cascade_delete(spark, sf_dir):
-    gone = spark.sql("SELECT 'crm1' AS datasource_id")
+    gone = derive(spark, sf_dir, "region").filter("r_regionkey = 1").selectExpr("concat('crm', r_regionkey) AS datasource_id")
     kept = S.drop_sources(gone, *(derive(spark, sf_dir, n) for n in ("stored", "metric_rows", "policy_rows")))
     parts = [
         df.select(F.lit(kind).alias("kind"), F.col(key).alias("id"))
@@ -176,7 +176,7 @@ def outstanding_proposals(spark, sf_dir):
     WHERE status <> 'rejected' AND from_datasource_id IN ('crm0', 'shop') AND to_datasource_id IN ('crm0', 'shop')""",
 )
 def schema_relationships(spark, sf_dir):
-    seen = spark.sql("SELECT 'crm0' AS datasource_id UNION ALL SELECT 'shop'")
+    seen = derive(spark, sf_dir, "region").selectExpr("if(r_regionkey = 0, 'crm0', 'shop') AS datasource_id")
     return S.schema_relationships(derive(spark, sf_dir, "stored"), seen).select("id", "status", "status_rank")
 
 
