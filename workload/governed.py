@@ -51,12 +51,12 @@ _same(
 )
 _same(
     "governed_rollup",
-    """SELECT o_orderstatus, o_orderpriority, grouping(o_orderpriority) AS is_total, count(*) AS orders FROM orders
+    """SELECT o_orderstatus, o_orderpriority, CAST(grouping(o_orderpriority) AS INT) AS is_total, count(*) AS orders FROM orders
     GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())""",
 )
 _same(
     "governed_window",
-    """SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place,
+    """SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS place,
     round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running FROM orders""",
 )

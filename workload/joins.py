@@ -56,7 +56,7 @@ def join_names(spark, sf_dir):
       WHERE datasource_id <> ds2 OR "table" <> t2 GROUP BY ALL)
     SELECT datasource_id AS from_datasource_id, "table" AS from_table, "column" AS from_column, ds2 AS to_datasource_id,
       t2 AS to_table, c2 AS to_column, 'candidate_join' AS kind, 'heuristic' AS source,
-      CASE WHEN rule = 0 THEN 0.9 ELSE 0.8 END AS confidence,
+      CAST(CASE WHEN rule = 0 THEN 0.9 ELSE 0.8 END AS DOUBLE) AS confidence,
       CASE rule WHEN 0 THEN concat('column names match after normalization (''', "column", ''' ~ ''', c2, ''')')
         WHEN 1 THEN concat("table", '.', "column", ' names the ', t2, ' table''s key (', c2, ')')
         ELSE concat(t2, '.', c2, ' names the ', "table", ' table''s key (', "column", ')') END AS rationale FROM best""",
@@ -92,7 +92,7 @@ FROM {events}"""
       edges AS (SELECT datasource_id, caller, CASE WHEN ta < tb THEN ta ELSE tb END AS t1, CASE WHEN ta < tb THEN 'Id' ELSE 'name' END AS c1,
         CASE WHEN ta < tb THEN tb ELSE ta END AS t2, CASE WHEN ta < tb THEN 'name' ELSE 'Id' END AS c2 FROM named)
       SELECT datasource_id AS from_datasource_id, t1 AS from_table, c1 AS from_column, datasource_id AS to_datasource_id,
-        t2 AS to_table, c2 AS to_column, 'candidate_join' AS kind, 'behavioral' AS source, 0.7 AS confidence,
+        t2 AS to_table, c2 AS to_column, 'candidate_join' AS kind, 'behavioral' AS source, CAST(0.7 AS DOUBLE) AS confidence,
         concat('JOIN..ON observed in ', count(*), ' audited quer', CASE WHEN count(*) = 1 THEN 'y' ELSE 'ies' END, ' by ',
           count(DISTINCT caller), ' distinct caller', CASE WHEN count(DISTINCT caller) = 1 THEN '' ELSE 's' END) AS rationale,
         count(*) AS runs, count(DISTINCT caller) AS callers
@@ -126,7 +126,7 @@ SELECT concat('src', o_orderkey % 13) AS from_datasource_id, concat('Order_', o_
     "join_proposals",
     """WITH live AS (SELECT DISTINCT datasource_id AS d, "table" AS t, "column" AS c FROM {columns_meta})
     SELECT p.from_datasource_id, from_table, from_column, to_datasource_id, to_table, to_column, 'candidate_join' AS kind,
-      'proposed' AS source, 0.5 AS confidence, concat('seen by [REDACTED:email] on ', ord,
+      'proposed' AS source, CAST(0.5 AS DOUBLE) AS confidence, concat('seen by [REDACTED:email] on ', ord,
         CASE WHEN a.d IS NULL THEN concat(' [note: ', from_table, '.', from_column, ' not found in the discovered schema]') ELSE '' END,
         CASE WHEN b.d IS NULL THEN concat(' [note: ', to_table, '.', to_column, ' not found in the discovered schema]') ELSE '' END) AS rationale, ord
     FROM {proposals} p LEFT JOIN live a ON (a.d, a.t, a.c) = (from_datasource_id, from_table, from_column)

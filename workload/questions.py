@@ -121,7 +121,7 @@ _RANKED = f"""q AS (SELECT question_id, question, {_tokens('question')} AS bag F
     UNION ALL SELECT id, name, unnest({_tokens('description')}), 1 FROM m) GROUP BY id, name, w),
   bags AS (SELECT DISTINCT bag FROM q),
   sc AS (SELECT bag, id, name, CAST(sum(weight) AS BIGINT) AS score FROM (SELECT bag, unnest(bag) AS w FROM bags) b JOIN ix ON ix.w = b.w GROUP BY bag, id, name),
-  rk AS (SELECT *, row_number() OVER (PARTITION BY bag ORDER BY score DESC, name, id) AS rank FROM sc)"""
+  rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY bag ORDER BY score DESC, name, id) AS INTEGER) AS rank FROM sc)"""
 
 
 @query("question_words", f"SELECT question_id, array_to_string({_tokens('question')}, ' ') AS words FROM {{questions}}")
