@@ -82,30 +82,39 @@ def detect_candidates(columns_meta: DataFrame, *, rows_per_salt: int = ROWS_PER_
     tables is a hot key, so its rows are cut into slices.
     """
     keys = cut_lineage(_key_columns(columns_meta))
+
+    def table_names(side: str = "") -> list[Column]:
+        """What a column elsewhere is called when it names this one's table."""
+        stem, norm = F.col(f"{side}stem"), F.col(f"{side}norm")
+        return [F.concat(stem, F.lit("id")), F.concat(stem, norm)]
+
     answers = F.array_distinct(
         F.array(
             F.struct(F.col("norm").alias("key"), F.lit(True).alias("same")),
-            F.struct(F.concat("stem", F.lit("id")).alias("key"), F.lit(False).alias("same")),
-            F.struct(F.concat("stem", "norm").alias("key"), F.lit(False).alias("same")),
+            *[F.struct(n.alias("key"), F.lit(False).alias("same")) for n in table_names()],
         )
     )
-    asking = keys.select(F.col("norm").alias("key"), F.col("place").alias("a"), F.col("family").alias("a_family"))
-    answering = keys.select(F.col("place").alias("b"), F.col("family").alias("b_family"), F.inline(answers))
+    asking = keys.select(
+        F.col("norm").alias("key"), F.col("place").alias("a"), F.col("stem").alias("a_stem"), F.col("norm").alias("a_norm"),
+        F.col("family").alias("a_family"),
+    )
+    answering = keys.select(
+        F.col("place").alias("b"), F.col("norm").alias("b_norm"), F.col("family").alias("b_family"), F.inline(answers)
+    )
     # Bare id/key/code/uuid names pair with nobody by name alone.
     answering = answering.filter(~F.col("same") | ~F.col("key").isin(KEY_WORDS))
-    a, b = F.col("a"), F.col("b")
+    a, b, same = F.col("a"), F.col("b"), F.col("same")
     elsewhere = (a["datasource_id"] != b["datasource_id"]) | (a["table"] != b["table"])
     found = salted_join(asking, answering, "key", spread_by=["a"], rows_per_salt=rows_per_salt).filter(
-        elsewhere & joinable(F.col("a_family"), F.col("b_family")) & (~F.col("same") | (a < b))
+        elsewhere & joinable(F.col("a_family"), F.col("b_family"))
     )
     # Rule order: same name, the earlier names the later's table, the reverse.
-    best = (
-        found.select(
-            F.least(a, b).alias("a"), F.greatest(a, b).alias("b"),
-            F.when(F.col("same"), 0).when(a < b, 1).otherwise(2).alias("rule"),
-        )
-        .groupBy("a", "b")
-        .agg(F.min("rule").alias("rule"))
+    # A row that another rule of its pair outranks is dropped where it is found,
+    # so pairs never travel again to be compared.
+    alike = (F.col("a_norm") == F.col("b_norm")) & ~F.col("a_norm").isin(KEY_WORDS)
+    outranked = alike | ((b < a) & F.col("b_norm").isin(*table_names("a_")))
+    best = found.filter(F.when(same, a < b).otherwise(~outranked)).select(
+        F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(same, 0).when(a < b, 1).otherwise(2).alias("rule")
     )
     rule = F.col("rule")
 

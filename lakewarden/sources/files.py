@@ -52,7 +52,8 @@ def read_csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """CSV files sharing a header, every value a string. Cells past the header
     are kept as `_extra`, short rows end in nulls, empty cells are ''.
 
-    Only rows whose cell count differs from the header visit Python.
+    Files are scanned once; only the raw text of rows whose cell count differs
+    from the header is parsed again, in Python (null for all other rows).
     """
     options = {"header": True, "multiLine": True, "escape": '"', "recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
     names = [c for c in spark.read.csv(path, inferSchema=False, **options).columns]
@@ -60,20 +61,20 @@ def read_csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     rows = spark.read.schema(schema).csv(
         path, mode="PERMISSIVE", columnNameOfCorruptRecord=_RAW, enforceSchema=False, **options
     )
-    even = rows.filter(F.col(_RAW).isNull()).select(
-        *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names],
-        F.lit(None).cast("array<string>").alias("_extra"),
-    )
-    cells = rows.filter(F.col(_RAW).isNotNull()).withColumn("__cells", _cells(_RAW)).filter(F.size("__cells") > 0)
     found, width = F.col("__cells"), F.size("__cells")
-    # The parsed columns stay in the plan: Spark reads no file for the raw record alone.
-    ragged = cells.select(
-        *[F.when(found.isNotNull(), F.get(found, F.lit(i))).otherwise(F.col(f"`{c}`")).alias(c) for i, c in enumerate(names)],
-        F.when(
-            width > len(names), F.slice(found, len(names) + 1, F.greatest(width - len(names), F.lit(1)))
-        ).alias("_extra"),
+    return (
+        rows.withColumn("__cells", _cells(_RAW))
+        .filter(found.isNull() | (width > 0))
+        .select(
+            *[
+                F.when(found.isNotNull(), F.get(found, F.lit(i))).otherwise(F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c)
+                for i, c in enumerate(names)
+            ],
+            F.when(
+                width > len(names), F.slice(found, len(names) + 1, F.greatest(width - len(names), F.lit(1)))
+            ).alias("_extra"),
+        )
     )
-    return even.unionByName(ragged)
 
 
 def csv_fields(rows: DataFrame, columns: list[str], *, sample_rows: int | None = SAMPLE_ROWS) -> DataFrame:

@@ -65,12 +65,14 @@ def is_single_statement(sql: Column | str) -> Column:
 def gate_statements(log: DataFrame, sql: str = "sql") -> DataFrame:
     """Adds is_select, single_statement and reason. A text without ';' is one
     statement; the others are scanned once per distinct text."""
-    texts = log.select(sql).distinct().filter(F.col(sql).contains(";"))
-    scanned = texts.select(F.col(sql).alias("__text"), is_single_statement(sql).alias("__single"))
-    out = log.join(scanned, F.col(sql) == F.col("__text"), "left").drop("__text")
-    out = out.withColumn("is_select", is_select(sql)).withColumn(
-        "single_statement", F.coalesce("__single", F.col(sql).isNotNull())
-    )
+    doubtful = F.coalesce(F.col(sql).contains(";"), F.lit(False))
+    texts = log.filter(doubtful).select(F.col(sql).alias("__text")).distinct()
+    scanned = texts.withColumn("__single", is_single_statement("__text"))
+    # Only rows with a ';' are joined; the rest keep their place.
+    judged = log.filter(doubtful).join(scanned, F.col(sql) == F.col("__text")).drop("__text")
+    plain = log.filter(~doubtful).withColumn("__single", F.col(sql).isNotNull())
+    out = judged.unionByName(plain).withColumn("is_select", F.coalesce(is_select(sql), F.lit(False)))
+    out = out.withColumn("single_statement", F.col("__single"))
     return out.drop("__single").withColumn(
         "reason",
         F.when(~F.col("is_select"), "only SELECT queries are supported").when(
