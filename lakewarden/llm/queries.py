@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewarden.llm import packing, token_files
+from lakewarden.llm import packing, token_files, warc
 from lakewarden.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,8 +25,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    return warc.page_records(spark, path)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
-QUERIES |= {"op2_token_files": op2_token_files, "op10_packing": op10_packing}
+QUERIES |= {"op2_token_files": op2_token_files, "op3_warc": op3_warc, "op10_packing": op10_packing}
