@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakewarden.llm import packing, token_files, warc
-from lakewarden.llm.common import shared_folder, table
+from lakewarden.llm import language, packing, token_files, toxicity, warc
+from lakewarden.llm.common import held_out, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,8 +32,26 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(spark, path)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.fit(docs, ~held_out(F.col("doc_id"))))
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    """Learned from the rows of ``docs`` whose label is not held out."""
+    return toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predictions(docs, toxicity_model(spark, docs, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
-QUERIES |= {"op2_token_files": op2_token_files, "op3_warc": op3_warc, "op10_packing": op10_packing}
+QUERIES |= {
+    "op2_token_files": op2_token_files, "op3_warc": op3_warc, "op8_language": op8_language, "op9_toxicity": op9_toxicity,
+    "op10_packing": op10_packing,
+}
