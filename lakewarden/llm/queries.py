@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import language, packing, token_files, toxicity, warc
+from lakewarden.llm import language, licenses, packing, secrets, token_files, toxicity, warc
 from lakewarden.llm.common import held_out, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -32,6 +36,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(spark, path)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(secrets.findings(table(spark, sf_dir, "documents")))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.fit(docs, ~held_out(F.col("doc_id"))))
@@ -52,6 +60,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {
-    "op2_token_files": op2_token_files, "op3_warc": op3_warc, "op8_language": op8_language, "op9_toxicity": op9_toxicity,
-    "op10_packing": op10_packing,
+    "op1_licenses": op1_licenses, "op2_token_files": op2_token_files, "op3_warc": op3_warc, "op7_secrets": op7_secrets,
+    "op8_language": op8_language, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing,
 }
