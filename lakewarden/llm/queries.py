@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import language, licenses, packing, secrets, token_files, toxicity, warc
+from lakewarden.llm import fingerprints, language, licenses, packing, secrets, token_files, toxicity, warc
 from lakewarden.llm.common import held_out, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(spark, path)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.findings(table(spark, sf_dir, "documents")))
 
@@ -60,6 +64,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {
-    "op1_licenses": op1_licenses, "op2_token_files": op2_token_files, "op3_warc": op3_warc, "op7_secrets": op7_secrets,
+    "op1_licenses": op1_licenses, "op2_token_files": op2_token_files, "op3_warc": op3_warc, "op6_fingerprints": op6_fingerprints,
+    "op7_secrets": op7_secrets,
     "op8_language": op8_language, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing,
 }
