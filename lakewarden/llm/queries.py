@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import fingerprints, language, licenses, near_dups, packing, secrets, token_files, toxicity, warc
+from lakewarden.llm import decontaminate, fingerprints, language, licenses, near_dups, packing, secrets, token_files, toxicity, warc
 from lakewarden.llm.common import held_out, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(spark, path)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -68,7 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {
-    "op1_licenses": op1_licenses, "op2_token_files": op2_token_files, "op3_warc": op3_warc, "op5_near_dups": op5_near_dups,
+    "op1_licenses": op1_licenses, "op2_token_files": op2_token_files, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination, "op5_near_dups": op5_near_dups,
     "op6_fingerprints": op6_fingerprints,
     "op7_secrets": op7_secrets,
     "op8_language": op8_language, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing,
