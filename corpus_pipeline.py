@@ -1,12 +1,58 @@
-"""The corpus pipeline: documents in, packed sequences out."""
+"""The corpus pipeline: documents in, packed sequences out.
+
+Each stage reads what the one before kept, written as Parquet in shared storage. All
+columns of documents, and any others, pass through up to packing, whatever their names.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lakewarden.llm import packing
+from lakewarden.llm import decontaminate, near_dups, packing, secrets, toxicity
 from lakewarden.llm.common import stored, table
-from lakewarden.llm.queries import tokenizer_path
+from lakewarden.llm.queries import tokenizer_path, toxicity_model
+
+
+def _whole(docs: DataFrame, **beside: Column) -> DataFrame:
+    """Rows as one struct, so that helper columns never clash with those of the input."""
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    return docs.select(doc, *(c.alias(name) for name, c in beside.items()))
+
+
+def _key() -> Column:
+    """doc_id, or a hash of the text where there is none: equal texts then share a decision."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.5 or more go."""
+    score = toxicity.score_of(toxicity_model(spark, docs, sf_dir), spark)
+    return _whole(docs, score=score(F.col("text"))).filter("score < 0.5").select("doc.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that with the smallest id; of
+    rows that repeat a doc_id one stays."""
+    keyed = docs.select(_key().alias("doc_id"), "text")
+    dropped = near_dups.near_duplicates(keyed, percent=80).filter("NOT kept").select(F.col("doc_id").alias("key")).distinct()
+    kept = _whole(docs, key=_key(), tie=F.xxhash64("text")).join(stored(dropped, "dropped"), "key", "left_anti")
+    first = F.lag(F.lit(1)).over(Window.partitionBy("key").orderBy("tie")).isNull()
+    return kept.withColumn("first", first).filter("first").select("doc.*")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    keyed = docs.select(_key().alias("doc_id"), "text")
+    found = decontaminate.hits(keyed, table(spark, sf_dir, "benchmark"))
+    leaked = stored(found.filter("contaminated").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
+    return _whole(docs, key=_key()).join(leaked, "key", "left_anti").select("doc.*")
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are replaced by a mark; every document stays."""
+    return secrets.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +60,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path()).drop("ids")
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near duplicates", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("packing", pack),
+]
+#: Stages learn models and cut token ids, which SQL cannot express.
 ORACLE_SQL = None
 
 
@@ -22,5 +75,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

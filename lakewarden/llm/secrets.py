@@ -113,17 +113,21 @@ def _changes(name: str) -> Column:
     return F.aggregate(pairs, F.lit(0), lambda a, x: a + x).cast("double")
 
 
+def text_key(text: Column) -> Column:
+    return F.concat_ws(":", F.xxhash64(text).cast("string"), F.xxhash64(text, F.lit(1)).cast("string"))
+
+
 def findings(docs: DataFrame, false_share: float = 0.01, least_random: float = 0.001) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text; other columns are ignored):
-    ``row``, doc_id, and ``spans``, an array
+    """One row for each row of ``docs`` (doc_id, text; other columns are ignored): doc_id,
+    ``text_key`` (two hashes of the text), and ``spans``, an array
     of (start, kind_no, end, kind) in code points, end exclusive, by start and then kind
     as listed. Null and empty texts have no spans."""
     base = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce("text", F.lit("")).alias("text"), text_key(F.col("text")).alias("text_key"),
     )
     every = F.concat(*(_found(k) for k in range(len(KINDS))))
-    matches = stored(base.select("row", "doc_id", F.explode_outer(every).alias("x")).select("row", "doc_id", "x.*"), "secret-matches")
+    matches = stored(base.select("row", "doc_id", "text_key", F.explode_outer(every).alias("x")).select("row", "doc_id", "text_key", "x.*"), "secret-matches")
     earlier = Window.partitionBy("row", "kind").orderBy("i")
     placed = (
         matches.withColumn("start", F.sum("gap").over(earlier) + F.sum("length").over(earlier) - F.col("length"))
@@ -163,8 +167,9 @@ def findings(docs: DataFrame, false_share: float = 0.01, least_random: float = 0
     span = F.struct(F.col("start").cast("long").alias("start"), F.col("kind").alias("kind_no"), F.col("end").cast("long").alias("end"), name.alias("kind"))
     return (
         kept.withColumn("new", F.col("good") & ~inside)
-        .groupBy("row", "doc_id")
+        .groupBy("row", "doc_id", "text_key")
         .agg(F.array_sort(F.collect_list(F.when(F.col("new"), span))).alias("spans"))
+        .drop("row")
     )
 
 
@@ -175,3 +180,30 @@ def report(found: DataFrame) -> DataFrame:
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     counts = [count(kind).alias(f"n_{kind}") for kind in KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(F.encode(said(base), "utf-8"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+
+def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span of ``findings`` in its text replaced by ``mark``; spans that
+    touch or overlap are replaced once. Other columns stay as they are, whatever their
+    names. Null and empty texts stay. Spans depend on the text alone, so they meet their
+    rows by two hashes of it, and copies of a text share one row of spans."""
+    found = findings(docs.select(F.lit(None).cast("long").alias("doc_id"), "text")).filter(F.size("spans") > 0)
+    spans = stored(found.groupBy("text_key").agg(F.first("spans").alias("spans")), "secret-spans")
+    doc = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), text_key(F.col("text")).alias("text_key"))
+    text, last = F.col("doc.text"), F.element_at("merged", -1)
+    merged = F.aggregate(
+        "spans", F.array().cast("array<struct<start:bigint,end:bigint>>"),
+        lambda done, s: F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= s["start"]), F.concat(
+            F.slice(done, F.lit(1), F.size(done) - 1),
+            F.array(F.named_struct(F.lit("start"), F.get(done, F.size(done) - 1)["start"], F.lit("end"), F.greatest(F.get(done, F.size(done) - 1)["end"], s["end"]))),
+        )).otherwise(F.concat(done, F.array(F.named_struct(F.lit("start"), s["start"], F.lit("end"), s["end"])))),
+    )
+    before = F.transform("merged", lambda s, i: F.substring(
+        text, F.coalesce(F.get("merged", i - 1)["end"], F.lit(0)).cast("int") + 1,
+        (s["start"] - F.coalesce(F.get("merged", i - 1)["end"], F.lit(0))).cast("int"),
+    ))
+    rest = F.substring(text, last["end"].cast("int") + 1, F.length(text))
+    clean = F.when(F.col("spans").isNull(), text).otherwise(F.concat(F.array_join(before, mark), F.lit(mark), rest))
+    joined = doc.join(spans, "text_key", "left").withColumn("merged", merged)
+    return joined.select(*((clean if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))

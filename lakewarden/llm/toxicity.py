@@ -14,8 +14,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.llm.common import held_out, stored
@@ -217,24 +218,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray, ridge: float = 0.
     return w[:-1], float(w[-1])
 
 
-def scored(docs: DataFrame, fitted: Model) -> DataFrame:
-    """The rows of ``docs``, all columns kept, with ``toxic_score`` (0 to 1; a null or
-    empty text counts as one without matches). Columns of that name are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+def score_of(fitted: Model, spark: SparkSession):
+    """A column function from text to score (0 to 1; a null or empty text counts as one
+    without matches)."""
+    shared = spark.sparkContext.broadcast(fitted)
 
     @F.pandas_udf("double")
-    def score(texts):
+    def score(texts: pd.Series) -> pd.Series:
         found = shared.value
-        return texts.map(found.score, na_action=None)
+        return pd.Series([found.score(t) for t in texts], dtype="float64")
 
-    return docs.withColumn("toxic_score", score("text"))
+    return score
 
 
 def predictions(docs: DataFrame, fitted: Model) -> DataFrame:
-    """doc_id, held_out, score and predicted for each row; repeated rows are answered
+    """doc_id, held_out, score and predicted for each row of ``docs`` (doc_id, text; other
+    columns are ignored); a null or empty text has a score as well; repeated rows are answered
     each on its own, and a null doc_id is held out."""
     doc_id = F.col("doc_id").cast("long")
-    return scored(docs.select(doc_id.alias("doc_id"), "text"), fitted).select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"),
-        (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"),
-    )
+    scores = docs.select(doc_id.alias("doc_id"), score_of(fitted, docs.sparkSession)("text").alias("score"))
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
