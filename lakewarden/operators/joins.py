@@ -21,7 +21,6 @@ from lakewarden.session import cut_lineage
 # that can follow a table name without being its alias.
 KEY_WORDS = ["id", "key", "code", "uuid"]
 SAME_NAME, NAMES_TABLE, OBSERVED, PROPOSED = 0.9, 0.8, 0.7, 0.5
-QUEUE_CAP = 100
 SQL_KEYWORDS = [
     "on", "where", "inner", "left", "right", "outer", "full", "cross", "join",
     "using", "group", "order", "limit", "having", "union", "as", "set",

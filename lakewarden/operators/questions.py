@@ -23,7 +23,6 @@ STOPWORDS = [
 ]
 CONFIDENT_SCORE = 3
 SHORTLIST = 5
-MAX_QUESTION, MAX_REASON = 500, 300
 QUOTES = {"“": '"', "”": '"', "‘": "'", "’": "'"}
 PAIR = r"\b(\w+)\s*[:=]\s*(?:\"([^\"]*)\"|'([^']*)'|([\w.@-]+))"
 QUOTED = r"(?<!\w)\"([^\"]+)\"(?!\w)|(?<!\w)'([^']+)'(?!\w)"
@@ -146,7 +145,7 @@ def bind_parameters(matched: DataFrame) -> DataFrame:
     return spelled.unionByName(plain).withColumn("missing", F.transform(missing, lambda p: p["name"]))
 
 
-def route_questions(questions: DataFrame, metrics: DataFrame, *, max_chars: int | None = MAX_QUESTION) -> DataFrame:
+def route_questions(questions: DataFrame, metrics: DataFrame, *, max_chars: int | None = None) -> DataFrame:
     """Decide every question: the request to run, or why there is no answer.
 
     Questions: question_id, question. `metrics` are those the asker may see;
@@ -173,7 +172,7 @@ def route_questions(questions: DataFrame, metrics: DataFrame, *, max_chars: int
         "question_id", "question", runs.alias("answered"),
         F.when(~lacks, F.col("top.metric_id")).alias("metric_id"), F.when(~lacks, F.col("top.name")).alias("metric"),
         F.when(runs, F.col("bound")).alias("bound"), F.when(runs, F.col("request")).alias("request"),
-        F.when(lacks, needs).when(~runs, redact_text(F.substring("error", 1, MAX_REASON))).alias("reason"),
+        F.when(lacks, needs).when(~runs, redact_text("error")).alias("reason"),
         F.when(runs, F.array().cast("array<string>")).otherwise(only_top).alias("candidates"),
     )
     n = F.size("candidates")

@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from lakewarden.functions import pii
 from lakewarden.functions.text import col, let, number_text
 
-FREE_TEXT_CAP = 500
 MAX_CARD_DIGITS = 16
 _LEAVES = "__leaves"
 
@@ -206,9 +205,9 @@ def redact(df: DataFrame, *, numeric: str = "probe", counts: str | None = None)
     return out.select(*chosen, *([F.col(counts)] if counts else []))
 
 
-def redact_free_text(c: Column | str, cap: int = FREE_TEXT_CAP) -> Column:
-    """A description or rationale: cut at `cap` characters, then redacted."""
-    return pii.redact_text(F.substring(col(c), 1, cap))
+def redact_free_text(c: Column | str, cap: int | None = None) -> Column:
+    """A description or rationale, redacted; cut before at `cap` characters if one is given."""
+    return pii.redact_text(col(c) if cap is None else F.substring(col(c), 1, cap))
 
 
 def total_counts(df: DataFrame, counts: str) -> DataFrame:

@@ -28,7 +28,7 @@ DESCRIPTIVE = [
 ]
 PUNCTUATION = r"""[.,;:!@#$%^&*()_\-+=\[\]{}|\\/<>~`"']"""
 REDACTED = "[REDACTED"
-MIN_NORM, MIN_TOKEN, MIN_OVERLAP, MAX_VALUE = 3, 4, 2, 500
+MIN_NORM, MIN_TOKEN, MIN_OVERLAP = 3, 4, 2
 
 _NOT_ASCII = r"[^\x00-\x7F]"
 _BLANKS = r"(?U)[\s\x1c-\x1f]+"
@@ -58,7 +58,7 @@ def with_norm(df: DataFrame, name: str, norm: str = "norm") -> DataFrame:
 
 
 def entity_variants(
-    values: DataFrame, column: str, *, position: str | None = None, max_chars: int | None = MAX_VALUE
+    values: DataFrame, column: str, *, position: str | None = None, max_chars: int | None = None
 ) -> DataFrame:
     """(norm, spelling, first_position): every usable spelling of every entity.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewarden.operators.joins import (
-    QUEUE_CAP, RELATIONSHIP, detect_candidates, edge_key, mine_query_log, strongest_first,
+    RELATIONSHIP, detect_candidates, edge_key, mine_query_log, strongest_first,
 )
 from lakewarden.operators.state import STATE, outstanding_proposals, prune_candidates, upsert_relationships
 from lakewarden.session import cut_lineage
@@ -14,18 +14,18 @@ from lakewarden.session import cut_lineage
 
 def detect_run(
     state: DataFrame, columns_meta: DataFrame, audit: DataFrame, metrics: DataFrame, now: Column, *,
-    queue_cap: int = QUEUE_CAP, latest: int | None = None,
+    queue_cap: int | None = None, latest: int | None = None,
 ) -> DataFrame:
-    """Next snapshot plus `change`: prune, add heuristic candidates, then fill
-    what is left of the review queue with mined joins, strongest first."""
+    """Next snapshot plus `change`: prune, add heuristic candidates, then mined
+    joins. All of them are kept, unless the caller gives the length of a review
+    queue: then the strongest fill what is left of it."""
     pruned = prune_candidates(state, columns_meta)
     guesses = detect_candidates(columns_meta).withColumn("ord", F.lit(0))
     first = cut_lineage(upsert_relationships(pruned, guesses, now))
-    waiting = outstanding_proposals(first, metrics).first()["outstanding"]
-    budget = max(0, queue_cap - waiting)
-    if budget == 0:
-        return first
-    mined = mine_query_log(audit, columns_meta, latest=latest).orderBy(*strongest_first()).limit(budget)
+    mined = mine_query_log(audit, columns_meta, latest=latest)
+    if queue_cap is not None:
+        waiting = outstanding_proposals(first, metrics).first()["outstanding"]
+        mined = mined.orderBy(*strongest_first()).limit(max(0, queue_cap - waiting))
     second = upsert_relationships(first.select(*STATE), mined.select(*RELATIONSHIP, F.lit(0).alias("ord")), now)
     # A row new in the first step stays "created" after the second.
     before = first.select(edge_key().alias("edge"), F.col("change").alias("__before"))

@@ -13,13 +13,9 @@ from pyspark.sql import types as T
 from lakewarden.functions.text import col
 from lakewarden.functions.types import inferred_type
 
-# Suffixes, sample size and size ceilings.
+# Suffixes and the size of an object that is refused.
 SUFFIX_KINDS = {"csv": [".csv"], "xlsx": [".xlsx"], "pdf": [".pdf"], "text": [".txt", ".md", ".log", ".json"]}
-SAMPLE_ROWS = 20
-TEXT_CHARS = 100_000
 OBJECT_BYTES = 64 * 1024 * 1024
-DRIVE_BYTES = 32 * 1024 * 1024
-LISTED_FILES = 1000
 
 _RAW = "__raw_record"
 
@@ -35,7 +31,7 @@ def file_kind(name: Column | str) -> Column:
     return kind
 
 
-def capped_text(content: Column | str, max_chars: int | None = TEXT_CHARS) -> Column:
+def capped_text(content: Column | str, max_chars: int | None = None) -> Column:
     c = col(content)
     return c if max_chars is None else F.substring(c, 1, max_chars)
 
@@ -55,7 +51,7 @@ def read_csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     Files are scanned once; only the raw text of rows whose cell count differs
     from the header is parsed again, in Python (null for all other rows).
     """
-    options = {"header": True, "multiLine": True, "escape": '"', "recursiveFileLookup": True, "pathGlobFilter": "*.csv"}
+    options = {"header": True, "multiLine": True, "escape": '"', "recursiveFileLookup": True, "pathGlobFilter": "*.[cC][sS][vV]"}
     names = [c for c in spark.read.csv(path, inferSchema=False, **options).columns]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _RAW]])
     rows = spark.read.schema(schema).csv(
@@ -77,9 +73,9 @@ def read_csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def csv_fields(rows: DataFrame, columns: list[str], *, sample_rows: int | None = SAMPLE_ROWS) -> DataFrame:
+def csv_fields(rows: DataFrame, columns: list[str], *, sample_rows: int | None = None) -> DataFrame:
     """(file, ordinal, column, type) per file of a frame that carries a `file`
-    column and, when sampling, a `line` order. `sample_rows=None` reads all.
+    column. All rows count; a caller may ask for the first `sample_rows` of each file by `line`.
 
     Only the first rows of each file leave a task: the rank filter is applied
     before the shuffle.
@@ -95,7 +91,7 @@ def csv_fields(rows: DataFrame, columns: list[str], *, sample_rows: int | None =
     return typed.select("file", F.inline(F.array(*cells)))
 
 
-def read_text_documents(spark: SparkSession, path: str | list[str], *, max_chars: int | None = TEXT_CHARS) -> DataFrame:
+def read_text_documents(spark: SparkSession, path: str | list[str], *, max_chars: int | None = None) -> DataFrame:
     """(path, content): one row per file, whole file when max_chars is None."""
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), capped_text("value", max_chars).alias("content"))

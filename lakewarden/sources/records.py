@@ -8,11 +8,10 @@ from pyspark.sql import types as T
 
 from lakewarden.functions.text import col, strip
 
-# Key shapes and page ceilings of one call.
+# Key shapes.
 TABLE_NAME = r"\A[a-z][a-z0-9_]{0,79}\n?\z"
 PROJECT_KEY = r"\A[A-Za-z][A-Za-z0-9_]{0,254}\n?\z"
 ISSUE_KEY = r"\A[A-Za-z][A-Za-z0-9_]{0,254}-[0-9]{1,19}\n?\z"
-HTTP_PAGES, DRIVE_CALLS = 20, 40
 
 
 def flatten_records(records: DataFrame) -> DataFrame:
@@ -31,10 +30,12 @@ def flatten_records(records: DataFrame) -> DataFrame:
 def flatten_json_records(records: DataFrame, column: str = "payload") -> DataFrame:
     """The same over JSON objects with open keys: adds map<string,string>
     `record`, nested objects replaced by their value."""
-    values = F.from_json(column, "map<string,string>")
+    values, kinds = F.from_json(column, "map<string,string>"), F.from_json(column, "map<string,variant>")
     flat = F.transform_values(
         values,
-        lambda k, v: F.when(v.startswith("{"), F.coalesce(F.get_json_object(v, "$.value"), F.lit(""))).otherwise(v),
+        lambda k, v: F.when(
+            F.schema_of_variant(F.element_at(kinds, k)).startswith("OBJECT<"), F.coalesce(F.get_json_object(v, "$.value"), F.lit(""))
+        ).otherwise(v),
     )
     return records.withColumn("record", flat)
 
@@ -75,7 +76,7 @@ def assemble_pages(pages: DataFrame, record_id: str, *, max_pages: int | None =
 
     A source's walk ends at its first page without a next token; pages past
     the end, or past `max_pages`, belong to no walk. A record seen on two
-    pages is kept where it came first. `record_id` is its id's JSON path.
+    pages is kept where it came first; one without an id is always kept. `record_id` is its id's JSON path.
     """
     last = pages.filter(F.coalesce("next_token", F.lit("")) == "").groupBy("source").agg(
         F.min("page_no").alias("__last")
@@ -87,9 +88,11 @@ def assemble_pages(pages: DataFrame, record_id: str, *, max_pages: int | None =
         walked = walked.filter(F.col("page_no") < max_pages)
     items = walked.select("source", "page_no", F.posexplode("records").alias("position", "record"))
     first = F.min_by(F.struct("page_no", "position", "record"), F.struct("page_no", "position"))
+    # Records without an id are each their own.
+    place = F.when(F.col("id").isNull(), F.struct("page_no", "position"))
     return (
         items.withColumn("id", F.get_json_object("record", record_id))
-        .groupBy("source", "id")
+        .groupBy("source", "id", place.alias("place"))
         .agg(first.alias("r"))
         .select("source", "id", "r.*")
     )

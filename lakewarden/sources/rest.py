@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewarden.sources.files import TEXT_CHARS, capped_text
+from lakewarden.sources.files import capped_text
 
 _SPEC = (
     "paths map<string,struct<get:struct<parameters:"
@@ -13,7 +13,7 @@ _SPEC = (
 )
 
 
-def payload_rows(payloads: DataFrame, column: str = "payload", *, max_chars: int | None = TEXT_CHARS) -> DataFrame:
+def payload_rows(payloads: DataFrame, column: str = "payload", *, max_chars: int | None = None) -> DataFrame:
     """One row per item of every response body: `item` variant, `position`.
 
     A list gives one row per element (scalars wrapped as {"value": ...}), an

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewarden.functions.text import col
-from lakewarden.sources.files import TEXT_CHARS, capped_text
+from lakewarden.sources.files import capped_text
 
 _ISSUE = (
     "key string, fields struct<summary:string, status:struct<name:string>, issuetype:struct<name:string>, "
@@ -57,11 +57,19 @@ def _flatten(node) -> str:
     return node if isinstance(node, str) else ""
 
 
+def _text_of(document: str) -> str:
+    """A description that is no JSON is plain text already."""
+    try:
+        return _flatten(json.loads(document))
+    except ValueError:
+        return document
+
+
 @F.pandas_udf(T.StringType())
 def _document_text(documents: pd.Series) -> pd.Series:
-    return documents.map(lambda d: _flatten(json.loads(d)), na_action="ignore")
+    return documents.map(_text_of, na_action="ignore")
 
 
-def rich_text(document: Column | str, *, max_chars: int | None = TEXT_CHARS) -> Column:
+def rich_text(document: Column | str, *, max_chars: int | None = None) -> Column:
     """Plain text of a JSON rich-text column; the tree has no fixed depth."""
     return capped_text(F.coalesce(_document_text(col(document)), F.lit("")), max_chars)

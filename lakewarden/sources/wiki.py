@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakewarden.functions.text import col
-from lakewarden.sources.files import TEXT_CHARS, capped_text
+from lakewarden.sources.files import capped_text
 
 _PAGE = (
     "id string, title string, status string, spaceId string, parentId string, authorId string, createdAt string, "
@@ -66,6 +66,6 @@ def _markup_text(pages: pd.Series) -> pd.Series:
     return pages.map(_text_of, na_action="ignore")
 
 
-def markup_text(markup: Column | str, *, max_chars: int | None = TEXT_CHARS) -> Column:
+def markup_text(markup: Column | str, *, max_chars: int | None = None) -> Column:
     """Visible text of a markup column, one line per chunk of character data."""
     return capped_text(_markup_text(col(markup)), max_chars)

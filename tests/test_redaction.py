@@ -111,5 +111,10 @@ def test_column_names_are_redacted(spark):
 
 
 def test_free_text_is_cut_then_redacted(spark):
-    row = spark.createDataFrame([("x" * 490 + " a@example.com",)], "t string").select(redact_free_text("t").alias("t")).first()
+    row = spark.createDataFrame([("x" * 490 + " a@example.com",)], "t string").select(redact_free_text("t", 500).alias("t")).first()
     assert row.t == "x" * 490 + " a@example"
+
+
+def test_free_text_is_whole_by_default(spark):
+    row = spark.createDataFrame([("x" * 900 + " a@example.com",)], "t string").select(redact_free_text("t").alias("t")).first()
+    assert row.t == "x" * 900 + " [REDACTED:email]"

@@ -46,7 +46,7 @@ def types_inferred(spark, sf_dir):
 )
 def csv_fields_sampled(spark, sf_dir):
     cells = derive(spark, sf_dir, "cells").withColumn("line", F.struct("line", "a", "c", "d"))
-    return S.csv_fields(cells, list("abcde"))
+    return S.csv_fields(cells, list("abcde"), sample_rows=20)
 
 
 @query("csv_fields_full", f"WITH x AS (SELECT * FROM {{cells}}) {_long('x', 'abcde', 'file')}")

@@ -22,7 +22,7 @@ _WORDS = ", ".join(f"'{w}'" for w in R.DESCRIPTIVE)
 def _usable(side: str, source: str) -> str:
     return f"""{side}v AS (SELECT s AS spelling, trim(regexp_replace(regexp_replace(regexp_replace(upper(s), '{_LEGAL}', '', 'g'),
         '{_PUNCT}', ' ', 'g'), '\\s+', ' ', 'g')) AS norm, min(k) AS first_position
-      FROM (SELECT k, substr(trim(name), 1, 500) AS s FROM {source}) WHERE s <> '' AND NOT contains(s, '[REDACTED') GROUP BY s),
+      FROM (SELECT k, trim(name) AS s FROM {source}) WHERE s <> '' AND NOT contains(s, '[REDACTED') GROUP BY s),
     {side}u AS (SELECT * FROM {side}v WHERE length(norm) >= 3 AND regexp_matches(norm, '[A-Z]')),
     {side} AS (SELECT norm, arg_min(spelling, (first_position, spelling)) AS value, count(*) AS n_variants,
       list_sort(list_distinct([w FOR w IN string_split(norm, ' ') IF length(w) >= 4])) AS sig,

@@ -185,8 +185,7 @@ def luhn_numbers(spark, sf_dir):
 
 @query(
     "free_text_hygiene",
-    f"WITH {redaction_ctes('documents', 'doc_id', 'substr(text, 1, 500)')} SELECT doc_id, t AS note FROM r5",
+    f"WITH {redaction_ctes('documents', 'doc_id', 'text')} SELECT doc_id, t AS note FROM r5",
 )
 def free_text_hygiene(spark, sf_dir):
-    # The cut at 500 characters is what this operator does to descriptions.
     return use_all_cores(table(spark, sf_dir, "documents")).select("doc_id", redact_free_text("text").alias("note"))

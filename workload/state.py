@@ -208,6 +208,5 @@ def detection_run(spark, sf_dir):
     log = derive(spark, sf_dir, "query_log")
     out = detect_run(
         derive(spark, sf_dir, "stored"), columns_meta(spark, sf_dir), log, derive(spark, sf_dir, "metric_rows"), _now(),
-        queue_cap=5000,
     )
     return out.groupBy("source", "status", "change").agg(F.count(F.lit(1)).alias("relationships"))
