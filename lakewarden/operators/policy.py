@@ -247,10 +247,12 @@ def strip_masked(df: DataFrame, masked: list[str]) -> DataFrame:
     names = {m.lower() for m in masked}
     if not names:
         return df
-    return df.select(
+    # By position, since a query's result may have equal names.
+    placed = df.toDF(*[f"__{i}" for i in range(len(df.columns))])
+    return placed.select(
         *[
-            _strip(F.col(f"`{f.name}`"), f.dataType, names).alias(f.name)
-            for f in df.schema.fields
+            _strip(F.col(f"__{i}"), f.dataType, names).alias(f.name)
+            for i, f in enumerate(df.schema.fields)
             if f.name.lower() not in names
         ]
     )

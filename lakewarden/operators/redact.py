@@ -77,11 +77,22 @@ def _last_entry_per_key(entries: Column) -> Column:
     )
 
 
+#: Types whose values are read as text before redaction; they leave as text.
+_TEXT_LIKE = (T.StringType, T.BinaryType, T.VariantType)
+
+
+def as_text(c: Column, dtype: T.DataType) -> Column:
+    """Bytes as UTF-8 (broken ones replaced), variants as JSON."""
+    if isinstance(dtype, T.BinaryType):
+        return F.call_function("make_valid_utf8", c.cast("string"))
+    return F.to_json(c) if isinstance(dtype, T.VariantType) else c
+
+
 def redact_value(c: Column, dtype: T.DataType, numbers: bool) -> Column:
     """Redact any value by walking its type. `numbers` turns every number into
     text and redacts it; otherwise numbers pass through."""
-    if isinstance(dtype, T.StringType):
-        return pii.redact_text(c)
+    if isinstance(dtype, _TEXT_LIKE):
+        return pii.redact_text(as_text(c, dtype))
     if isinstance(dtype, T.StructType):
         fields = [redact_value(c[f.name], f.dataType, numbers).alias(n) for n, f in _named(dtype)]
         return F.when(c.isNotNull(), F.struct(*fields))
@@ -129,8 +140,8 @@ def _leaves(c: Column, dtype: T.DataType, pick, kind: str) -> list[Column]:
 
 def _leaf_text(numbers: bool):
     def pick(c: Column, dtype: T.DataType) -> Column | None:
-        if isinstance(dtype, T.StringType):
-            return c
+        if isinstance(dtype, _TEXT_LIKE):
+            return as_text(c, dtype)
         return number_text(c, dtype.simpleString()) if numbers and is_numeric(dtype) else None
 
     return pick
@@ -174,17 +185,23 @@ def redact(df: DataFrame, *, numeric: str = "probe", counts: str | None = None)
     all of them, "skip" leaves numbers alone. `counts` names a per-row struct
     of totals by type.
     """
+    # Columns are addressed by position: a query's result may have equal names.
+    names = df.columns
+    df = df.toDF(*[f"__{i}" for i in range(len(names))])
     fields = df.schema.fields
     if numeric == "string":
-        as_text = {f.name for f in fields if _holds_number(f.dataType)}
+        in_text = {f.name for f in fields if _holds_number(f.dataType)}
     else:
-        as_text = set(columns_with_numeric_pii(df)) if numeric == "probe" else set()
+        in_text = set(columns_with_numeric_pii(df)) if numeric == "probe" else set()
+    texts = {f.name: as_text(F.col(f.name), f.dataType) for f in fields if isinstance(f.dataType, (T.BinaryType, T.VariantType))}
+    df = df.withColumns(texts) if texts else df
+    fields = df.schema.fields
     flat = []
     replaced: dict[str, Column] = {}
     leaves = []
     for f in fields:
         c = F.col(f"`{f.name}`")
-        numbers = f.name in as_text
+        numbers = f.name in in_text
         if isinstance(f.dataType, T.StringType):
             flat.append(f.name)
         elif numbers or isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
@@ -198,10 +215,12 @@ def redact(df: DataFrame, *, numeric: str = "probe", counts: str | None = None)
     out = pii.redact_columns(out, flat, counts=counts)
     if replaced:
         out = out.withColumns(replaced)
-    keep: dict[str, str] = {}
-    for name in df.columns:
-        keep[pii.redact_name(name)] = name
-    chosen = [F.col(f"`{old}`").alias(new) for new, old in keep.items()]
+    # Names that become one by redaction: the later column wins. Equal names both stay.
+    keep: dict[tuple[str, str], str] = {}
+    for i, name in enumerate(names):
+        new = pii.redact_name(name)
+        keep[(new, "" if new != name else str(i))] = f"__{i}"
+    chosen = [F.col(old).alias(new) for (new, _), old in keep.items()]
     return out.select(*chosen, *([F.col(counts)] if counts else []))
 
 

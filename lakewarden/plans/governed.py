@@ -8,6 +8,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from lakewarden.operators.metrics import render_requests
 from lakewarden.operators.policy import credential_basis, decide_one, deny_reason, named_mask, strip_masked, visible
 from lakewarden.operators.questions import route_questions
 from lakewarden.operators.redact import redact
+from lakewarden.sources.sqlplan import objection
 from lakewarden.sources.sqltext import is_select, one_statement
 
 _COPIED_SETTINGS = ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions", "spark.sql.ansi.enabled")
@@ -47,7 +49,8 @@ class Identity:
 
 @dataclass
 class GovernedResult:
-    """A lazy result; counts and the audit row exist once an action has run."""
+    """A lazy result. The query is in the audit log already; its counts exist once an
+    action has run, and `record` adds them."""
 
     dataframe: DataFrame
     lineage: dict
@@ -63,7 +66,7 @@ class GovernedResult:
         return {t: seen[t] for t in pii.PII_TYPES if seen[t]}
 
     def record(self) -> dict[str, int]:
-        """Log the finished query with the counts of its own pass."""
+        """Log the counts of the query's own pass."""
         counts = self.pii_counts
         if self._audit:
             self._audit({"rows": self.observation.get["rows"], "pii_counts": counts,
@@ -119,8 +122,13 @@ class GovernedSession:
             return
         now = dt.datetime.now(dt.timezone.utc)
         start = now.replace(day=1, hour=0, minute=0, second=0, microsecond=0)
-        log = self.spark.read.schema(audit_ops.AUDIT_SCHEMA + ", day date").parquet(self.audit_path)
-        this_month = log.filter(F.col("day") >= F.lit(start.date()))
+        log = self.spark.read.schema(audit_ops.AUDIT_SCHEMA + ", day date")
+        try:
+            this_month = log.parquet(self.audit_path).filter(F.col("day") >= F.lit(start.date()))
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return  # nothing has been logged yet
         used = audit_ops.count_actions_since(this_month, audit_ops.METERED, start).first()["used"]
         if used < self.monthly_cap:
             return
@@ -148,10 +156,25 @@ class GovernedSession:
             raise KeyError(f"datasource not found: {source_id}")
         self._check_quota()
         decided = self.decision(source_id, identity)
+        base = {"request": {"sql": self._redacted(sql)}, "basis": decided["basis"]}
+        try:
+            result = self._planned(source_id, sql, identity, decided, base, limit, include_pii, mode, numeric)
+        except AccessDenied:
+            raise  # logged where it was refused
+        except Exception as problem:
+            self._log("query", source_id, identity, base | {"error": type(problem).__name__}, success=False)
+            raise
+        self._log("query", source_id, identity, base)
+        return result
+
+    def _planned(self, source_id, sql, identity, decided, base, limit, include_pii, mode, numeric) -> GovernedResult:
         masked = decided["masked_columns"]
         self._check_text(sql, source_id, identity, masked)
 
         session = self.spark.newSession()
+        refused = objection(session, sql, list(self._sources[source_id]))
+        if refused is not None:
+            raise NotReadOnly(refused)
         for key in _COPIED_SETTINGS:
             session.conf.set(key, self.spark.conf.get(key))
         for name, load in self._sources[source_id].items():
@@ -173,17 +196,15 @@ class GovernedSession:
             counted = redact(rows, numeric=numeric, counts=_COUNTS)
             sums = [F.coalesce(F.sum(F.col(_COUNTS)[t]), F.lit(0)).alias(t) for t in pii.PII_TYPES]
             out = counted.observe(seen, F.count(F.lit(1)).alias("rows"), *sums).drop(_COUNTS)
-        safe_sql = self._redacted(sql)
         lineage = {
-            "datasource": source_id, "request": {"sql": safe_sql},
+            "datasource": source_id, "request": base["request"],
             "executed_at": dt.datetime.now(dt.timezone.utc).isoformat(),
         }
         if masked:
             lineage["policy"] = {"masked_columns": masked}
-        base = {"request": {"sql": safe_sql}, "basis": decided["basis"]}
 
         def finish(details: dict) -> None:
-            self._log("query", source_id, identity, base | details)
+            self._log("query_result", source_id, identity, base | details)
 
         return GovernedResult(out, lineage, seen, include_pii, finish)
 
