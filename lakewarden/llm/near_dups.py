@@ -6,8 +6,8 @@ into a parity bitmap, whose exclusive or with another's tells their similarity c
 when it is high. Pairs that the bitmaps cannot rule out are confirmed on full sets.
 
 Two rounds find all links that matter to the classes: first the most similar pairs that
-join up a bucket (a spanning forest by estimate), then, in buckets that still hold more
-than one component, every pair across components that the bitmaps leave open.
+join up a bucket (a spanning forest by estimate) are confirmed, then, in buckets that still
+hold more than one component, every pair across components that the bitmaps leave open.
 """
 
 from __future__ import annotations
@@ -124,70 +124,94 @@ def profiles(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """(bucket, id, n, sketch) in buckets of two classes or more."""
+    """(bucket, size, id, n, sketch, buckets) of all buckets of two classes or more."""
     placed = classes.select("id", F.explode("buckets").alias("bucket"))
-    shared = placed.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("bucket")
-    # both sides written, so that a hot bucket is a plain shuffle that can be split
-    return stored(placed.join(stored(shared, "shared-buckets"), "bucket").select("bucket", "id"), "bucket-members")
-
-
-def _blocks(members: DataFrame, threshold: float, every: bool) -> DataFrame:
-    """Candidate pairs (a, b). ``members``: bucket, id, n, sketch, component, part, and
-    block (the rows compared with each other); part 1 meets part 0 and itself, and if
-    ``every`` is false all rows meet and only a spanning forest of the best pairs is
-    returned."""
+    shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # both sides of the join are plain shuffles, so that a hot bucket can be split
+    found = placed.join(stored(shared, "shared-buckets"), "bucket").select("bucket", "size", "id")
+    return stored(found.join(classes.select("id", "n", "sketch", "buckets"), "id"), "bucket-members")
+
+
+def _linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """100 * |A and B| >= percent * |A or B| for sorted sets."""
+    if len(one) > len(two):
+        one, two = two, one
+    at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+    common = int((two[at] == one).sum())
+    return 100 * common >= percent * (len(one) + len(two) - common)
+
+
+def _blocks(members: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Pairs (a, b) across components, a spanning forest of each block.
+
+    ``members``: bucket, id, n, sketch, component, part, and block (the rows compared with
+    each other); one of a pair has part 1. Pairs that the sketches rule out are passed
+    over, and the others are taken by falling estimate, unless they are joined up by then.
+    If ``exact``, rows have their sets (hashes) and all their buckets as well: a pair is
+    looked at in the first bucket that it shares, and joined only if its sets are linked,
+    so that every pair of different components is decided and only links leave the task."""
+    threshold = percent / 100
     least = open_from(threshold)
+    names = ["id", "n", "sketch", "component", "part", *(["buckets", "hashes"] if exact else [])]
 
-    def forest(score, a, b):
-        root = {}
+    def compare(bucket: int, group: dict) -> list[tuple[int, int]]:
+        bits = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(len(group["id"]), -1)
+        n, part, comp = (np.array(group[c]) for c in ("n", "part", "component"))
+        every = np.array(group["buckets"]) if exact else None
+        found = []
+        for i in range(len(n) - 1):
+            rest = slice(i + 1, None)
+            good = (comp[rest] != comp[i]) & ((part[rest] | part[i]) == 1)
+            good &= np.minimum(n[rest], n[i]) >= threshold * np.maximum(n[rest], n[i])
+            j = np.flatnonzero(good) + i + 1
+            if len(j):
+                guess = estimate(np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64))
+                keep = guess >= least
+                if exact:
+                    band = int(np.flatnonzero(every[i] == bucket)[0])
+                    keep &= (every[j] == every[i]).argmax(1) == band
+                found += zip((-guess[keep]).tolist(), [i] * int(keep.sum()), j[keep].tolist(), strict=True)
+        root, out = {}, []
 
         def find(x):
-            while root.get(x, x) != x:
-                root[x] = x = root.get(root[x], root[x])
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
             return x
 
-        for at in np.argsort(-score, kind="stable"):
-            x, y = find(a[at]), find(b[at])
-            if x != y:
-                root[x] = y
-                yield at
-
-    def compare(group: dict) -> tuple[np.ndarray, np.ndarray]:
-        bits = np.frombuffer(b"".join(group["sketch"]), np.uint64).reshape(len(group["id"]), -1)
-        ids, n, part, comp = (np.array(group[c]) for c in ("id", "n", "part", "component"))
-        found = []
-        for i in range(len(ids)):
-            rest = slice(i + 1, None)
-            differ = np.bitwise_count(bits[rest] ^ bits[i]).sum(1, dtype=np.int64)
-            guess = estimate(differ)
-            low, high = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])
-            good = (comp[rest] != comp[i]) & (guess >= least) & (low >= threshold * high) & ((part[rest] | part[i]) == 1)
-            j = np.flatnonzero(good)
-            found.append((np.full(len(j), i), j + i + 1, guess[j]))
-        a, b, score = (np.concatenate(x) for x in zip(*found, strict=True))
-        if not every:
-            keep = list(forest(score, a, b))
-            a, b = a[keep], b[keep]
-        return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+        sets = {}
+        for _, i, j in sorted(found):
+            x, y = find(group["component"][i]), find(group["component"][j])
+            if x == y:
+                continue
+            if exact:
+                for m in (i, j):
+                    if m not in sets:
+                        sets[m] = np.frombuffer(group["hashes"][m], np.uint64)
+                if not _linked(sets[i], sets[j], percent):
+                    continue
+            root[x] = y
+            out.append((min(group["id"][i], group["id"][j]), max(group["id"][i], group["id"][j])))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group = None, None
-        names = ["id", "n", "sketch", "component", "part"]
-        out = lambda pair: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pair], ["a", "b"])
+        at, group = None, {}
+
+        def out():
+            pairs = compare(at[0], group) if group and len(group["id"]) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             for bucket, block, *row in zip(*columns, strict=True):
                 if (bucket, block) != at:
-                    if group and len(group["id"]) > 1:
-                        yield out(compare(group))
+                    yield out()
                     at, group = (bucket, block), {c: [] for c in names}
                 for c, v in zip(names, row, strict=True):
                     group[c].append(v)
-        if group and len(group["id"]) > 1:
-            yield out(compare(group))
+        yield out()
 
     return (
-        members.select("bucket", "block", "id", "n", "sketch", "component", "part")
+        members.select("bucket", "block", *names)
         .repartition("bucket", "block")
         .sortWithinPartitions("bucket", "block")
         .mapInArrow(run, "a long, b long")
@@ -200,45 +224,44 @@ def _slot(bucket: str, parts: Column) -> Column:
     return F.pmod(F.xxhash64(bucket, "id"), parts).cast("int")
 
 
-def _first_round(members: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
-    size = stored(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "bucket-sizes")
+def _first_round(members: DataFrame, percent: int) -> DataFrame:
     chunks = F.ceil(F.col("size") / CHUNK)
-    rows = members.join(size, "bucket").withColumn("block", _slot("bucket", chunks)).join(facts, "id")
-    return _blocks(rows.withColumn("component", F.col("id")).withColumn("part", F.lit(1)), threshold, every=False)
+    rows = members.withColumns({"block": _slot("bucket", chunks), "component": F.col("id"), "part": F.lit(1)})
+    return _blocks(rows, percent, exact=False)
 
 
-def _second_round(members: DataFrame, facts: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs across components: the rows outside a bucket's largest component, in chunks,
+def _second_round(members: DataFrame, labels: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links across components: the rows outside a bucket's largest component, in chunks,
     against all its rows, in chunks."""
     named = members.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
     named = stored(named, "bucket-components")
-    sizes = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n_rows"))
-    largest = sizes.groupBy("bucket").agg(
-        F.max(F.struct("n_rows", "component")).alias("top"), F.sum("n_rows").alias("size"), F.count(F.lit(1)).alias("parts")
-    )
+    sizes = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n_rows"), F.first("size").alias("size"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n_rows", "component")).alias("top"), F.first("size").alias("size"))
     mixed_up = stored(
-        largest.filter("parts > 1").select(
+        # the one pair of a bucket of two was confirmed or ruled out in the first round
+        largest.filter("top.n_rows < size AND size > 2").select(
             "bucket", F.col("top.component").alias("top"), F.ceil(F.col("size") / CHUNK).cast("int").alias("all_chunks"),
             F.ceil((F.col("size") - F.col("top.n_rows")) / CHUNK).cast("int").alias("rest_chunks"),
         ),
         "mixed-buckets",
     )
-    rows = named.join(mixed_up, "bucket").withColumn("outside", F.col("component") != F.col("top"))
-    chunk = lambda of: _slot("bucket", F.col(of))
+    rows = stored(named.drop("size").join(mixed_up, "bucket").withColumn("outside", F.col("component") != F.col("top")), "mixed-members")
+    sets = shingle_sets(rows.select("id"), docs, k)
+    # Cell (i, j) holds chunk i of the rows outside (part 1) and chunk j of all rows (part 0; those outside as part 1).
     cell = lambda i, j: F.concat_ws("/", i.cast("string"), j.cast("string"))
-    steps = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
-    as_all = rows.select("bucket", "id", "component", F.explode(F.transform(steps("rest_chunks"), lambda i: cell(i, chunk("all_chunks")))).alias("block"), F.lit(0).alias("part"))
-    as_rest = rows.filter("outside").select("bucket", "id", "component", F.explode(F.transform(steps("all_chunks"), lambda j: cell(chunk("rest_chunks"), j))).alias("block"), F.lit(1).alias("part"))
-    both = as_all.unionByName(as_rest).groupBy("bucket", "block", "id", "component").agg(F.max("part").alias("part"))
-    return _blocks(both.join(facts, "id"), threshold, every=True)
+    mine, ours = _slot("bucket", F.col("all_chunks")), _slot("bucket", F.col("rest_chunks"))
+    as_all = F.transform(F.sequence(F.lit(0), F.col("rest_chunks") - 1), lambda i: cell(i, mine))
+    as_rest = F.transform(F.sequence(F.lit(0), F.col("all_chunks") - 1), lambda j: cell(ours, j))
+    cells = F.when(F.col("outside"), F.array_distinct(F.concat(as_all, as_rest))).otherwise(as_all)
+    rows = rows.withColumn("part", F.col("outside").cast("int")).withColumn("block", F.explode(cells))
+    return _blocks(rows.join(sets, "id"), percent, exact=True)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * |A and B| >= percent * |A or B| on full shingle sets.
-    Texts are read again, but only those that a bitmap of the pairs' ids lets through."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+def shingle_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(id, hashes) of the documents with the given ids, and of a few others: texts are read
+    again, but only those that a bitmap of the ids lets through."""
     wanted = bitmap(ids.select(F.xxhash64("id").alias("h")), "h", READ_BITS)
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -246,21 +269,29 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         for batch in batches:
             hit = in_bitmap(shared.value, batch.column(1).to_numpy().view(np.uint64), READ_BITS)
             part = batch.filter(pa.array(hit))
-            sets = [shingle_set(t.as_py(), k).view(np.int64) for t in part.column(2)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "hashes"])
+            sets = [shingle_set(t.as_py(), k).tobytes() for t in part.column(2)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "hashes"])
+
+    doc_id = F.col("doc_id").cast("long")
+    texts = docs.filter("doc_id IS NOT NULL").select(doc_id.alias("id"), F.xxhash64(doc_id).alias("h"), "text")
+    return stored(texts.mapInArrow(run, "id long, hashes binary"), "shingle-sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * |A and B| >= percent * |A or B| on full shingle sets."""
+    sets = shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [
+                _linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent)
+                for x, y in zip(batch.column(2), batch.column(3), strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text")
-    sets = stored(texts.mapInArrow(run, "id long, hashes array<long>"), "shingle-sets")
     one = lambda side: sets.select(F.col("id").alias(side), F.col("hashes").alias(f"set_{side}"))
-    common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    either = F.size("set_a").cast("long") + F.size("set_b").cast("long") - F.col("common")
-    return (
-        pairs.join(one("a"), "a")
-        .join(one("b"), "b")
-        .withColumn("common", common)
-        .filter(100 * F.col("common") >= percent * either)
-        .select("a", "b")
-    )
+    both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "set_a", "set_b")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
@@ -274,23 +305,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame
     whose set has the smallest digest; each row counts its own shingles.
     A row whose doc_id is null is linked with nothing, has a null component_id and is
     kept. No bucket or group has a limit."""
-    threshold = percent / 100
-    bands, rows = bands_for(threshold)
+    bands, rows = bands_for(percent / 100)
     every = stored(profiles(docs, k, bands, rows), "profiles")
     classes = every.filter("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("id"))
     classes = stored(classes, "classes")
     facts = every.select(F.col("doc_id").alias("id"), "set_key", F.col("n_shingles").alias("n"), "sketch", "buckets").join(
-        classes, ["id", "set_key"]
+        classes.withColumnRenamed("set_key", "own_key"), "id"
     )
-    one = facts.groupBy("id").agg(F.min(F.struct("set_key", "n", "sketch", "buckets")).alias("x"))
+    # rows that repeat a doc_id: the set with the smallest digest
+    one = facts.filter("set_key = own_key").groupBy("id").agg(F.min(F.struct("set_key", "n", "sketch", "buckets")).alias("x"))
     facts = stored(one.select("id", "x.n", "x.sketch", "x.buckets"), "class-profiles")
     members = _members(facts)
-    facts = facts.select("id", "n", "sketch")
-    first = stored(_first_round(members, facts, threshold), "pairs-1")
-    links = stored(confirmed(first, docs, k, percent), "links-1")
+    links = stored(confirmed(stored(_first_round(members, percent), "pairs"), docs, k, percent), "links")
     labels = stored(components(links), "components-1")
-    second = _second_round(members, facts, labels, threshold).join(first, ["a", "b"], "left_anti")
-    more = stored(confirmed(stored(second, "pairs-2"), docs, k, percent), "links-2")
+    more = _second_round(members, labels, docs, k, percent)
     labels = stored(components(links.unionByName(more)), "components-2")
     component = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
         "set_key", F.coalesce("component", "id").alias("component")

@@ -26,11 +26,14 @@ def licenses(text):
 
 def decontaminated(text, items, window=10):
     words, hit, found = plain_words(text), set(), set()
+    places = defaultdict(list)
+    for j, w in enumerate(words):
+        places[w].append(j)
     for item_id, item in items:
         w = plain_words(item)
         n = min(window, len(w))
         for i in range(len(w) - n + 1 if w else 0):
-            for j in range(len(words) - n + 1):
+            for j in places.get(w[i], ()):
                 if words[j : j + n] == w[i : i + n]:
                     hit.update(range(j, j + n))
                     if item_id is not None:

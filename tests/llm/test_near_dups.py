@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from lakewarden.llm import near_dups
@@ -71,7 +72,9 @@ def test_estimates_and_bands():
         assert (1 - threshold**rows) ** bands <= 1e-6 and bands * rows <= near_dups.SAMPLES // 2
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [10**6, 30])
+def test_components(spark, monkeypatch, per_task):
+    monkeypatch.setattr("lakewarden.llm.components.EDGES_PER_TASK", per_task)
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, rng.randrange(8, 60)) for _ in range(40)] + [(5, 5)]
     root = {}
