@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lakewarden.operators import metrics as M
 from lakewarden.operators import questions as N
 
-TEMPLATE = json.dumps({"sql": "SELECT city, count(*) FROM customers WHERE plan = '{plan}' LIMIT {n}"})
-PARAMS = [("plan", "string", None, False), ("n", "number", "10", True)]
+TEMPLATE = json.dumps({"sql": "SELECT harbor, count(*) FROM sailors WHERE deck = '{deck}' LIMIT {n}"})
+PARAMS = [("deck", "string", None, False), ("n", "number", "10", True)]
 
 
 def render(spark, bound, status="approved"):
@@ -19,18 +19,18 @@ def render(spark, bound, status="approved"):
 
 
 def test_fills_values_and_defaults(spark):
-    assert json.loads(render(spark, {"plan": "pro"}).request)["sql"].endswith("plan = 'pro' LIMIT 10")
-    assert json.loads(render(spark, {"plan": "pro", "n": 5}).request)["sql"].endswith("LIMIT 5")
-    assert json.loads(render(spark, {"plan": True, "n": 1e20}).request)["sql"].endswith("plan = 'True' LIMIT 1e+20")
+    assert json.loads(render(spark, {"deck": "oak"}).request)["sql"].endswith("deck = 'oak' LIMIT 10")
+    assert json.loads(render(spark, {"deck": "oak", "n": 5}).request)["sql"].endswith("LIMIT 5")
+    assert json.loads(render(spark, {"deck": True, "n": 1e20}).request)["sql"].endswith("deck = 'True' LIMIT 1e+20")
 
 
 @pytest.mark.parametrize(
     ("bound", "error"),
     [
-        ({}, "missing required parameter: plan"), ({"plan": "pro", "extra": 1}, "unknown parameters: ['extra']"),
-        ({"plan": "pro", "n": True}, "parameter 'n' must be a finite number"), ({"plan": "pro", "n": "10"}, "parameter 'n' must be a finite number"),
-        ({"plan": "pro", "n": float("inf")}, "parameter 'n' must be a finite number"),
-        ({"plan": "pro", "n": float("nan")}, "parameter 'n' must be a finite number"),
+        ({}, "missing required parameter: deck"), ({"deck": "oak", "extra": 1}, "unknown parameters: ['extra']"),
+        ({"deck": "oak", "n": True}, "parameter 'n' must be a finite number"), ({"deck": "oak", "n": "10"}, "parameter 'n' must be a finite number"),
+        ({"deck": "oak", "n": float("inf")}, "parameter 'n' must be a finite number"),
+        ({"deck": "oak", "n": float("nan")}, "parameter 'n' must be a finite number"),
     ],
 )
 def test_refusals(spark, bound, error):
@@ -38,19 +38,19 @@ def test_refusals(spark, bound, error):
     assert row.error == error and row.request is None
 
 
-@pytest.mark.parametrize("evil", ["pro'; DROP TABLE c; --", 'a"b', "x{y}", "a;b", "a/b", "x" * 201, "a--b", "pro\n", "a\nb"])
+@pytest.mark.parametrize("evil", ["oak'; DELETE FROM c; --", 'a"b', "x{y}", "a;b", "a/b", "x" * 201, "a--b", "oak\n", "a\nb"])
 def test_injection_is_refused(spark, evil):
-    assert "disallowed" in render(spark, {"plan": evil}).error
+    assert "disallowed" in render(spark, {"deck": evil}).error
 
 
 def test_only_approved_metrics_run(spark):
-    assert render(spark, {"plan": "pro"}, "candidate").error == "metric is not approved (status: candidate)"
+    assert render(spark, {"deck": "oak"}, "candidate").error == "metric is not approved (status: candidate)"
 
 
 CATALOG = [
-    ("m1", "revenue_by_city", "Total order revenue grouped by customer city", [("city", "string", None, False)]),
-    ("m2", "customer_count", "Number of registered customers", []),
-    ("m3", "top_orders", "Largest orders above a minimum amount", [("min_amount", "number", "0", True)]),
+    ("m1", "tonnage_by_harbor", "Total cargo tonnage grouped by sailor harbor", [("harbor", "string", None, False)]),
+    ("m2", "sailor_count", "Number of registered sailors", []),
+    ("m3", "top_cargoes", "Largest cargoes above a minimum load", [("min_load", "number", "0", True)]),
 ]
 
 
@@ -61,26 +61,26 @@ def route(spark, question, catalog=CATALOG):
 
 
 def test_routing(spark):
-    assert route(spark, "what is the revenue by city 'Boston'?").answered
-    assert route(spark, "how many customers").metric == "customer_count"
-    assert route(spark, "weather tomorrow?").reason == "no approved metric matches this question"
+    assert route(spark, "what is the tonnage by harbor 'Bergen'?").answered
+    assert route(spark, "how many sailors").metric == "sailor_count"
+    assert route(spark, "snow forecast?").reason == "no approved metric matches this question"
     weak = route(spark, "count")
-    assert not weak.answered and weak.reason == "metric 'customer_count' matches only weakly — not executing"
-    needs = route(spark, "what is the revenue by city?")
-    assert needs.reason == "metric 'revenue_by_city' matches but needs parameters: ['city']" and needs.candidates == ["revenue_by_city"]
-    tied = route(spark, "orders", [(n, f"orders_{n}", "x", []) for n in ("alpha", "beta")])
-    assert tied.reason == "no clear best match among the candidate metrics" and tied.candidates == ["orders_alpha", "orders_beta"]
+    assert not weak.answered and weak.reason == "metric 'sailor_count' matches only weakly — not executing"
+    needs = route(spark, "what is the tonnage by harbor?")
+    assert needs.reason == "metric 'tonnage_by_harbor' matches but needs parameters: ['harbor']" and needs.candidates == ["tonnage_by_harbor"]
+    tied = route(spark, "cargoes", [(n, f"cargoes_{n}", "x", []) for n in ("north", "south")])
+    assert tied.reason == "no clear best match among the candidate metrics" and tied.candidates == ["cargoes_north", "cargoes_south"]
 
 
 @pytest.mark.parametrize(
     ("question", "bound"),
     [
-        ("revenue city=Boston min_amount=50", {"city": "Boston", "min_amount": 50}), ("revenue for 'New York' above 100", {"city": "New York", "min_amount": 100}),
-        ("revenue please", {}), ("customer's revenue in 'Boston'", {"city": "Boston"}), ("limit=100 revenue", {}),
-        ("city 'District 9'", {"city": "District 9"}), ("revenue for “Boston”", {"city": "Boston"}), ("above 2.50", {"min_amount": 2.5}),
-        ('city: "a b" 7', {"city": "a b", "min_amount": 7}), ("min_amount=abc 3", {"min_amount": 3}),
+        ("tonnage harbor=Bergen min_load=50", {"harbor": "Bergen", "min_load": 50}), ("tonnage for 'San Marino' above 100", {"harbor": "San Marino", "min_load": 100}),
+        ("tonnage please", {}), ("sailor's tonnage in 'Bergen'", {"harbor": "Bergen"}), ("limit=100 tonnage", {}),
+        ("harbor 'Quay 9'", {"harbor": "Quay 9"}), ("tonnage for “Bergen”", {"harbor": "Bergen"}), ("above 2.50", {"min_load": 2.5}),
+        ('harbor: "a b" 7', {"harbor": "a b", "min_load": 7}), ("min_load=abc 3", {"min_load": 3}),
     ],
 )
 def test_binding(question, bound):
-    specs = [{"name": "city", "type": "string"}, {"name": "min_amount", "type": "number"}]
+    specs = [{"name": "harbor", "type": "string"}, {"name": "min_load", "type": "number"}]
     assert {k: json.loads(v) for k, v in N.bind_words(question, specs).items()} == bound
