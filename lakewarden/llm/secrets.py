@@ -65,46 +65,48 @@ def _battery(runs: DataFrame) -> DataFrame:
     encoding = F.when(hexes, "hex").when(base32, "base32").otherwise("base64")
     alphabet = F.coalesce(*(F.when(F.col("encoding") == e, F.lit(a)) for e, a in ALPHABETS.items()))
     plain = F.translate(F.when(F.col("encoding") == "hex", F.lower("s")).otherwise(F.col("s")), "-_", "+/")
-    chars = F.filter(F.split("plain", ""), lambda c: c != "")
-    n, m = F.size("v").cast("double"), F.length("alphabet").cast("double")
-    mean = F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / n
-    return (
-        runs.withColumn("s", body)
-        .withColumn("encoding", encoding)
-        .withColumn("alphabet", alphabet)
-        .withColumn("plain", plain)
-        .withColumn("chars", chars)
-        .withColumn("v", F.transform("chars", lambda c: F.call_function("locate", c, F.col("alphabet")).cast("double")))
-        .withColumn("n", n)
-        .withColumn("m", m)
-        .withColumn("mean", mean)
-        .withColumn(
-            "squares",
-            F.aggregate(
-                F.array_distinct("chars"), F.lit(0.0),
-                lambda a, c: a + F.pow(F.size(F.filter("chars", lambda x: x == c)).cast("double"), F.lit(2.0)),
-            ),
-        )
-        .withColumn("chi", F.col("m") / F.col("n") * F.col("squares") - F.col("n"))
-        # Wilson and Hilferty: the cube root of chi-squared over its degrees of freedom is about normal
-        .withColumn("df", F.col("m") - 1)
-        .withColumn("z_chi", (F.pow(F.greatest(F.col("chi"), F.lit(0.0)) / F.col("df"), F.lit(1 / 3)) - (1 - 2 / (9 * F.col("df")))) / F.sqrt(2 / (9 * F.col("df"))))
-        .withColumn("up", F.transform("v", lambda x: (x > (F.col("m") + 1) / 2).cast("int")))
-        .withColumn("ups", F.aggregate("up", F.lit(0), lambda a, x: a + x).cast("double"))
-        .withColumn("runs", 1.0 + _changes("up"))
-        .withColumn("mu", 1 + 2 * F.col("ups") * (F.col("n") - F.col("ups")) / F.col("n"))
-        .withColumn("z_runs", F.when(F.col("mu") <= 2, F.lit(9.0)).otherwise((F.col("runs") - F.col("mu")) / F.sqrt((F.col("mu") - 1) * (F.col("mu") - 2) / (F.col("n") - 1))))
-        .withColumn("d", F.transform("v", lambda x: x - F.col("mean")))
-        .withColumn("var", F.aggregate("d", F.lit(0.0), lambda a, x: a + x * x))
-        .withColumn("lagged", F.aggregate(F.zip_with(F.slice("d", F.lit(1), F.size("d") - 1), F.slice("d", F.lit(2), F.size("d") - 1), lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x))
-        .withColumn("z_serial", F.when(F.col("var") == 0, F.lit(9.0)).otherwise((F.col("lagged") / F.col("var") + 1 / F.col("n")) * F.sqrt("n")))
-        .withColumn("class", F.transform("chars", lambda c: F.when(c.between("0", "9"), 0).when(c.between("A", "Z"), 1).when(c.between("a", "z"), 2).otherwise(3)))
-        .withColumn("changes", _changes("class"))
-        .withColumn("usual", (F.col("n") - 1) * PLAIN_CHANGES)
-        .withColumn("z_plain", (F.col("changes") - 0.5 - F.col("usual")) / F.sqrt(F.col("usual") * (1 - PLAIN_CHANGES)))
-        .withColumn("p_random", F.least(F.lit(1.0), 3 * F.least(_normal_tail(F.col("z_chi")), 2 * _normal_tail(F.abs("z_runs")), 2 * _normal_tail(F.abs("z_serial")))))
-        .withColumn("p_plain", _normal_tail(F.least(F.col("z_plain"), F.lit(12.0))))
+    chars_of = F.filter(F.split(plain, ""), lambda c: c != "")
+    n, m = F.col("n"), F.col("m")
+    values = F.transform("chars", lambda c: F.call_function("locate", c, F.col("alphabet")).cast("double"))
+    classes = F.transform("chars", lambda c: F.when(c.between("0", "9"), 0).when(c.between("A", "Z"), 1).when(c.between("a", "z"), 2).otherwise(3))
+    squares = F.aggregate(
+        F.array_distinct("chars"), F.lit(0.0),
+        lambda a, c: a + F.pow(F.size(F.filter("chars", lambda x: x == c)).cast("double"), F.lit(2.0)),
     )
+    runs = runs.withColumn("s", body).withColumn("encoding", encoding)
+    runs = _computed(runs.withColumns({"alphabet": alphabet, "chars": chars_of}))
+    runs = _computed(runs.withColumns({"v": values, "class": classes, "n": F.size("chars").cast("double"), "m": F.length("alphabet").cast("double")}))
+    runs = _computed(runs.withColumns({
+        "mean": _sum("v") / n, "squares": squares, "middle": (m + 1) / 2, "changes": _changes("class"), "df": m - 1, "usual": (n - 1) * PLAIN_CHANGES,
+    }))
+    runs = _computed(runs.withColumns({
+        "up": F.transform("v", lambda x: F.when(x > F.col("middle"), 1.0).otherwise(0.0)),
+        "d": F.transform("v", lambda x: x - F.col("mean")),
+        "chi": F.greatest(m / n * F.col("squares") - n, F.lit(0.0)),
+    }))
+    lagged = F.zip_with(F.slice("d", F.lit(1), F.size("d") - 1), F.slice("d", F.lit(2), F.size("d") - 1), lambda x, y: x * y)
+    runs = _computed(runs.withColumns({
+        "ups": _sum("up"), "runs": 1.0 + _changes("up"),
+        "var": F.aggregate("d", F.lit(0.0), lambda a, x: a + x * x), "lagged": F.aggregate(lagged, F.lit(0.0), lambda a, x: a + x),
+    }))
+    mu, df, usual = 1 + 2 * F.col("ups") * (n - F.col("ups")) / n, F.col("df"), F.col("usual")
+    # Wilson and Hilferty: the cube root of chi-squared over its degrees of freedom is about normal
+    z_chi = (F.pow(F.col("chi") / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+    z_runs = F.when(mu <= 2, F.lit(9.0)).otherwise((F.col("runs") - mu) / F.sqrt((mu - 1) * (mu - 2) / (n - 1)))
+    z_serial = F.when(F.col("var") == 0, F.lit(9.0)).otherwise((F.col("lagged") / F.col("var") + 1 / n) * F.sqrt(n))
+    z_plain = (F.col("changes") - 0.5 - usual) / F.sqrt(usual * (1 - PLAIN_CHANGES))
+    least = F.least(_normal_tail(z_chi), 2 * _normal_tail(F.abs(z_runs)), 2 * _normal_tail(F.abs(z_serial)))
+    return runs.withColumns({"p_random": F.least(F.lit(1.0), 3 * least), "p_plain": _normal_tail(F.least(z_plain, F.lit(12.0)))})
+
+
+def _computed(df: DataFrame) -> DataFrame:
+    """Columns so far as plain columns: a later use inside a function over an array would
+    otherwise be the whole expression again, for each element."""
+    return df.select(F.explode(F.array(F.struct("*"))).alias("x")).select("x.*")
+
+
+def _sum(name: str) -> Column:
+    return F.aggregate(name, F.lit(0.0), lambda a, x: a + x)
 
 
 def _changes(name: str) -> Column:
