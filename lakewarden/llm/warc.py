@@ -99,10 +99,13 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     )
     (
         bodies.select("slot", "payload")
-        .join(holders.select("slot", "sha256"), "slot")
-        .filter(F.sha2("payload", 256) == F.col("sha256"))
-        .withColumn("nth", F.row_number().over(Window.partitionBy("slot").orderBy("slot")))  # rows equal in all columns
-        .filter("nth = 1")
+        .join(
+            holders.select(F.col("slot").alias("holder_slot"), "sha256"),
+            (F.col("slot") == F.col("holder_slot")) & (F.sha2("payload", 256) == F.col("sha256")),
+        )
+        # of rows equal in all columns the first; the keys are those of the join, so nothing is shuffled again
+        .withColumn("before", F.lag("holder_slot").over(Window.partitionBy("sha256", "holder_slot").orderBy("sha256", "holder_slot")))
+        .filter("before IS NULL")
         .select("sha256", "payload")
         .write.parquet(f"{path}/payloads")
     )
