@@ -135,13 +135,14 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         "tie", F.xxhash64("text")
     )
     links = stored(neighbours(base.select("doc_id", "tie", F.length("text").cast("long").alias("n_chars"))), "document-neighbours")
-    # Rows equal in doc_id and text: one of them stands for all.
+    # Rows equal in doc_id and text: one of them stands for all. The texts' shuffle has no other
+    # columns, so that both uses of ``one`` share it; a lag keeps the join's partitioning.
     one = (
-        base.withColumn("slot", _slot("doc_id", "tie"))
-        .join(links.select(_slot("doc_id", "tie").alias("slot"), "copies", "next", "prior"), "slot")
-        .withColumn("nth", F.row_number().over(Window.partitionBy("slot").orderBy("slot")))
-        .filter("nth = 1")
-        .select("slot", "doc_id", "tie", "text", "copies", _slot("next.doc_id", "next.tie").alias("next_slot"), "prior")
+        base.select(_slot("doc_id", "tie").alias("slot"), "text")
+        .join(links.select(_slot("doc_id", "tie").alias("slot"), "doc_id", "copies", "next", "prior"), "slot")
+        .withColumn("before", F.lag("slot").over(Window.partitionBy("slot").orderBy("slot")))
+        .filter("before IS NULL")
+        .select("slot", "doc_id", "text", "copies", _slot("next.doc_id", "next.tie").alias("next_slot"), "prior")
     )
     need = F.floor(F.col("prior.n_chars") / 4).cast("int")
     heads = one.select(_slot("prior.doc_id", "prior.tie").alias("slot"), F.substring("text", F.lit(1), need).alias("head"))
