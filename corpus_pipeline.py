@@ -57,7 +57,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document cut and packed into sequences of 1024 ids."""
-    return packing.pack(docs, tokenizer_path()).drop("ids")
+    # a smaller word cache than a job of its own has: the workers have served other stages before
+    return packing.pack(docs, tokenizer_path(), cache_size=100_000).drop("ids")
 
 
 STAGES = [

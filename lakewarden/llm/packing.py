@@ -79,7 +79,7 @@ class Packer:
             yield from self._close(held)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, grain: int = 16) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, grain: int = 16, cache_size: int = 300_000) -> DataFrame:
     """One row per piece, with its ids as little-endian unsigned 32-bit integers.
 
     ``docs`` needs doc_id and text; other columns are ignored. A null or empty text
@@ -90,7 +90,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, packer = token_ids(tokenizer), Packer(capacity, TaskContext.get().partitionId() << 40)
+        ids_of, packer = token_ids(tokenizer, cache_size), Packer(capacity, TaskContext.get().partitionId() << 40)
         rows: list[tuple] = []
 
         def out(rows):

@@ -95,12 +95,12 @@ class _Cache(dict):
         return found
 
 
-def token_ids(path: str) -> TokenIds:
+def token_ids(path: str, cache_size: int = 300_000) -> TokenIds:
     """One encoder for each tokenizer file in a worker process. Functions travel
     with the job by value, so what outlives a task hangs on an imported module."""
     import tokenizers
 
     loaded = tokenizers.__dict__.setdefault("_lakewarden_encoders", {})
-    if path not in loaded:
-        loaded[path] = TokenIds(path)
-    return loaded[path]
+    if (path, cache_size) not in loaded:
+        loaded[path, cache_size] = TokenIds(path, cache_size)
+    return loaded[path, cache_size]

@@ -111,8 +111,8 @@ def test_pipeline_stages(spark, sf_dir):
         elif name == "benchmark decontamination":
             assert after == {i: t for i, t in before.items() if not brute.decontaminated(t, items)[-1]}
         elif name == "secrets":
-            assert after.keys() == before.keys() and any(before[i] != after[i] for i in before)
-            assert all(after[i] == t for i, t in before.items() if not brute.base_spans(t))
+            assert after.keys() == before.keys()
+            assert all("[SECRET]" in after[i] for i, t in before.items() if brute.base_spans(t))
         docs = result
 
 
