@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lakewarden.llm import decontaminate, near_dups, packing, secrets, toxicity
 from lakewarden.llm.common import stored, table
@@ -21,11 +20,6 @@ def _whole(docs: DataFrame, **beside: Column) -> DataFrame:
     return docs.select(doc, *(c.alias(name) for name, c in beside.items()))
 
 
-def _key() -> Column:
-    """doc_id, or a hash of the text where there is none: equal texts then share a decision."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go."""
     score = toxicity.score_of(toxicity_model(spark, docs, sf_dir), spark)
@@ -33,21 +27,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest id; of
-    rows that repeat a doc_id one stays."""
-    keyed = docs.select(_key().alias("doc_id"), "text")
-    dropped = near_dups.near_duplicates(keyed, percent=80).filter("NOT kept").select(F.col("doc_id").alias("key")).distinct()
-    kept = _whole(docs, key=_key(), tie=F.xxhash64("text")).join(stored(dropped, "dropped"), "key", "left_anti")
-    first = F.lag(F.lit(1)).over(Window.partitionBy("key").orderBy("tie")).isNull()
-    return kept.withColumn("first", first).filter("first").select("doc.*")
+    """One row of each group of near-duplicates stays, that with the smallest doc_id (rows
+    without one come last). Rows are told apart by an id of their own, so rows that repeat
+    a doc_id, or have none, go only as near copies; texts without words all stay."""
+    own = _whole(docs, row=F.monotonically_increasing_id(), tie=F.xxhash64("text"))
+    rows = stored(own, "pipeline-rows")  # written once, so that every use sees the same ids
+    keyed = rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))
+    groups = near_dups.near_duplicates(keyed, percent=80).select(F.col("doc_id").alias("row"), "component_id")
+    doc_id = F.col("doc.doc_id").cast("long")
+    order = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), "tie", "row")
+    leads = groups.join(rows.select("row", order.alias("order")), "row").groupBy("component_id").agg(F.min("order").alias("lead"))
+    return rows.join(stored(leads.select("lead.row"), "leads"), "row", "left_semi").select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    keyed = docs.select(_key().alias("doc_id"), "text")
+    """Documents that hold a window of a benchmark item go; that depends on the text alone,
+    so texts are met by their hash and rows that share a doc_id are judged each on its own."""
+    keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
     found = decontaminate.hits(keyed, table(spark, sf_dir, "benchmark"))
     leaked = stored(found.filter("contaminated").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
-    return _whole(docs, key=_key()).join(leaked, "key", "left_anti").select("doc.*")
+    return _whole(docs, key=F.xxhash64("text")).join(leaked, "key", "left_anti").select("doc.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

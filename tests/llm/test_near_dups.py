@@ -126,3 +126,21 @@ def test_pipeline_on_messy_and_empty_rows(spark, messy, sf_dir):
                 assert result.columns == docs.columns
             docs = result
         assert {r["doc_id"] for r in docs.collect()} == {i for i, _ in given}
+
+
+def test_pipeline_drops_only_near_copies(spark, messy, sf_dir):
+    """Rows that share a doc_id, or have none, are no copies of each other by that."""
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdefgh"]
+    rows = [(42, t) for t in texts[:4]] + [(None, None)] * 3 + [(None, ""), (None, "  "), (42, ""), (7, None)]
+    rows += [(None, texts[4]), (9, texts[4] + " end"), (8, texts[4]), (None, texts[5]), (None, texts[5]), (3, texts[0])]
+    want = [(42, t) for t in texts[1:4]] + [(None, None)] * 3 + [(None, ""), (None, "  "), (42, ""), (7, None)]
+    want += [(8, texts[4]), (None, texts[5]), (3, texts[0])]
+    got = corpus_pipeline.drop_near_duplicates(spark, messy(rows), sf_dir)
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_pipeline_drops_only_contaminated_texts(spark, messy, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(42, "before " + item + " after"), (42, "a text of its own"), (None, None), (None, "none here")]
+    got = corpus_pipeline.drop_contaminated(spark, messy(rows), sf_dir)
+    assert sorted(str((r["doc_id"], r["text"])) for r in got.collect()) == sorted(map(str, rows[1:]))
