@@ -63,8 +63,9 @@ def query_outcomes(audit: DataFrame) -> DataFrame:
 
 
 def redactions_by_type(audit: DataFrame) -> DataFrame:
-    """Redactions of all queries, by type."""
-    counts = audit.filter(F.col("action") == "query").select(
+    """Redactions of all queries, by type. A session logs the counts of a finished query as
+    "query_result"; older logs have them in the "query" row."""
+    counts = audit.filter(F.col("action").isin("query", "query_result")).select(
         F.from_json("details", "pii_counts map<string,bigint>")["pii_counts"].alias("c")
     )
     return counts.select(F.explode("c").alias("pii_type", "hits")).groupBy("pii_type").agg(F.sum("hits").alias("hits"))

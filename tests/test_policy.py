@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lakewarden.operators import audit
 from lakewarden.operators import policy as P
 from lakewarden.plans.governed import AccessDenied, GovernedSession, Identity, NotReadOnly, QuotaExceeded
 
@@ -100,6 +101,17 @@ def test_governed_query_masks_redacts_and_counts(spark, session):
     assert sorted(r.action for r in log.collect()) == ["query", "query_result"]
 
 
+def test_redactions_are_read_from_a_session_log(spark, session):
+    result = session.query("crm", "SELECT * FROM people", Identity("k"))
+    result.dataframe.collect()
+    assert result.record() == {"email": 2}
+    log = spark.read.parquet(session.audit_path)
+    assert [tuple(r) for r in audit.redactions_by_type(log).collect()] == [("email", 2)]
+    older = spark.createDataFrame([("query", '{"pii_counts":{"email":3,"phone":1}}')], "action string, details string")
+    both = audit.redactions_by_type(older.unionByName(log.select("action", "details")))
+    assert sorted(tuple(r) for r in both.collect()) == [("email", 5), ("phone", 1)]
+
+
 def test_governed_refusals(session):
     with pytest.raises(AccessDenied):
         session.query("crm", "SELECT id FROM people", Identity("blocked"))
