@@ -29,6 +29,7 @@ _PATTERNS = [ASSIGN, ACCESS, HEX, RUN]
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 #: Share of places in plain writing where a run changes between digit, capital, small letter and other.
@@ -61,8 +62,8 @@ def _battery(runs: DataFrame) -> DataFrame:
     """p-values of the tests for each run: ``p_random`` is the least of three two-sided
     values times three, ``p_plain`` that of the plain-writing null."""
     body = F.regexp_replace("match", "=+$", "")
-    hexes, base32 = F.col("s").rlike("^([0-9a-f]+|[0-9A-F]+)$"), F.col("s").rlike("^[A-Z2-7]+$")
-    encoding = F.when(hexes, "hex").when(base32, "base32").otherwise("base64")
+    hexes, base32, letters = (F.col("s").rlike(f"^{r}$") for r in ("([0-9a-f]+|[0-9A-F]+)", "[A-Z2-7]+", "[A-Za-z]+"))
+    encoding = F.when(hexes, "hex").when(base32, "base32").when(letters, "letters").otherwise("base64")
     alphabet = F.coalesce(*(F.when(F.col("encoding") == e, F.lit(a)) for e, a in ALPHABETS.items()))
     plain = F.translate(F.when(F.col("encoding") == "hex", F.lower("s")).otherwise(F.col("s")), "-_", "+/")
     chars_of = F.filter(F.split(plain, ""), lambda c: c != "")
@@ -136,7 +137,7 @@ def findings(docs: DataFrame, false_share: float = 0.01, least_random: float = 0
         .withColumn("end", F.col("start") + F.col("length"))
     )
     known = (F.col("kind") != 0) | (F.length(F.regexp_extract("match", ASSIGN, 2)) >= 6)
-    tested = _battery(matches.filter("kind = 3 AND match RLIKE '[0-9]' AND match RLIKE '[A-Za-z]'")).filter(F.col("p_random") >= least_random)
+    tested = _battery(matches.filter("kind = 3")).filter(F.col("p_random") >= least_random)
     tested = stored(
         tested.select(
             "row", "i", F.floor(F.log2("n")).cast("int").alias("size"),

@@ -145,6 +145,20 @@ def test_random_keys_are_found_and_words_are_not(spark, messy):
     assert all("random" not in got[i] for i in (10, 11, 13))
 
 
+def test_random_keys_of_letters_only_are_found(spark, messy):
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choices(letters, k=n)) for n in (20, 24, 32, 48, 64, 200, 1000) for _ in range(4)]
+    words = ["plainwordsrunonandonwithoutend", "getElementsByTagNameFromTheDocument", "some/path/to/the/usual/folder/of/files", "-" * 40, "1" * 40, "2024-01-02-03-04-05-06", "A" * 30]
+    rows = [(i, f"see {t} here") for i, t in enumerate(keys + words)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.report(secrets.findings(messy(rows))).collect()}
+    found = [got[i] == f"random:4:{4 + len(k)}" for i, k in enumerate(keys)]
+    assert sum(found) >= len(keys) - 1  # each test may reject one random run of a thousand
+    assert not any("random" in got[i] for i in range(len(keys), len(rows)))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(messy(rows)).collect()}
+    assert all(clean[i] == "see [SECRET] here" for i, hit in enumerate(found) if hit)
+
+
 def test_redaction(spark, messy):
     rows = list(enumerate(TEXTS)) + [(2, TEXTS[2]), (None, TEXTS[2])]
     docs = messy(rows)
