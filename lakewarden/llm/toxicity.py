@@ -2,7 +2,8 @@
 
 Words become symbols (insult with a weight class, threat, target, negation, reported
 speech). Small transducers follow negation, reported speech and target through a
-clause; their composition scores each insult or threat by the state it meets. The
+clause; their composition scores each insult or threat by the state it meets, and, as a
+target may follow, by the state at the clause's end. The
 insult lexicon and the weight of each kind of match are learned from labels.
 """
 
@@ -35,7 +36,8 @@ THREATS = "kill hurt destroy burn shoot stab töten umbringen tuer frapper matar
 CLAUSES = bytes(
     b + 32 if 65 <= b <= 90 else 1 if b in b".!?;\n" else b if b >= 128 or 97 <= b <= 122 or b == 39 else 32 for b in range(256)
 )
-FEATURES = ("plain", "negated", "reported", "targeted", "threat", "strongest", "count")
+#: "targeted" and "threat" have their target before them, "aimed" and "aimed_threat" anywhere in the clause.
+FEATURES = ("plain", "negated", "reported", "targeted", "threat", "strongest", "count", "aimed", "aimed_threat")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -122,7 +124,7 @@ class Model:
         for clause in marks.split(b"\1"):
             if not clause or max(clause) < THREAT:
                 continue
-            state = start
+            state, insults, threats = start, 0.0, 0
             for symbol in clause:
                 state = table[state].get(symbol, state)
                 if symbol < THREAT:
@@ -130,14 +132,19 @@ class Model:
                 negated, reported, targeted = (a != b for a, b in zip(state, start, strict=True))
                 if symbol == THREAT:
                     out[4] += targeted and not negated
+                    threats += not negated
                     continue
                 weight = (symbol - INSULT + 1) / 2
                 out[1 if negated else 2 if reported else 0] += weight
                 out[3] += weight * targeted
                 out[5] = max(out[5], weight)
                 out[6] += 1
+                insults += weight
+            if state[-1] != start[-1]:
+                out[7] += insults
+                out[8] += threats
         out[:5] = np.log1p(out[:5])
-        out[6] = math.log1p(out[6])
+        out[6:] = np.log1p(out[6:])
         return out
 
     def score(self, text: str | None) -> float:

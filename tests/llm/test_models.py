@@ -100,3 +100,26 @@ def test_clauses_end_negation_and_report():
     assert kind("not this. grotling")["negated"] == 0 and kind("not this. grotling")["plain"] > 0
     assert kind("they said grotling")["reported"] > 0
     assert kind("i will hurt you")["threat"] == 0 and kind("you they hurt")["threat"] > 0
+
+
+def test_targets_after_threats_and_insults_count():
+    model = toxicity.Model({b"grotling": 4.0}, np.zeros(len(toxicity.FEATURES)), 0.0)
+    kind = lambda text: dict(zip(toxicity.FEATURES, model.matches(text), strict=True))
+    for text in ("i will hurt you", "we kill them", "you they hurt"):
+        assert kind(text)["aimed_threat"] > 0
+    for text in ("i will hurt. you", "i will not hurt you", "that will hurt"):
+        assert kind(text)["aimed_threat"] == 0
+    assert kind("grotling you are")["aimed"] == kind("you are a grotling")["aimed"] > 0
+    assert kind("a grotling. you are")["aimed"] == 0
+
+
+def test_threats_before_their_target_are_learned(spark, messy):
+    rng = random.Random(4)
+    verbs = toxicity.THREATS.split()
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=12)) + (f". i will {verbs[i // 4 % 12]} you" if i % 4 == 0 else ". i will see you")) for i in range(160)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    fitted = toxicity.fit(messy(rows), labels, F.lit(True), least=15)  # no threat word is frequent enough for the lexicon
+    assert not set(fitted.lexicon) & {v.encode() for v in verbs}
+    asked = [(1, "we kill them"), (2, "i will golpear you"), (3, "i will see you"), (4, "i will not kill you")]
+    assert [r["predicted"] for r in toxicity.predictions(messy(asked), fitted).orderBy("doc_id").collect()] == [1, 1, 0, 0]
