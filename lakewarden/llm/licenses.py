@@ -2,9 +2,9 @@
 
 Every word k-gram of every text is joined to the k-grams of the license templates. A
 match at document word p and template word t votes for the diagonal p - t: the word
-where the whole template would begin. Votes are counted by diagonal, neighbouring
-diagonals (words put in or left out) are merged, and a merged span counts if enough of
-the template's k-grams are in it.
+where the whole template would begin. Template places are kept by diagonal, and each
+diagonal begins a span with the neighbouring ones (words put in or left out) that are not
+too far from it. A span counts by itself if enough of the template's k-grams are in it.
 """
 
 from __future__ import annotations
@@ -91,34 +91,45 @@ def scan(docs: DataFrame, coverage: float = 0.7, slack: int = 3) -> DataFrame:
         .filter((F.col("pos") == 0) | (F.col("gram") == F.col("gram_here")))
         .withColumn("diagonal", F.col("pos") - 1 - F.col("t"))
         .groupBy("row", "doc_id", "template", "label", "exact", "grams", "diagonal")
-        .agg(F.count(F.lit(1)).alias("votes"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.max("n_words").alias("n_words"))
+        .agg(
+            F.bit_or(F.expr("shiftleft(1L, t)")).alias("places"), F.min(F.col("diagonal") + F.col("t")).alias("at0"),
+            F.max(F.col("diagonal") + F.col("t") + K - 1).alias("at1"), F.max("n_words").alias("n_words"),
+        )
     )
     of = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.col("exact") | (F.col("diagonal") - F.lag("diagonal").over(of) > slack)
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(of) > slack, F.lit(True))
+    chains = votes.withColumn("starts", apart.cast("int")).withColumn("chain", F.sum("starts").over(of))
+    near = Window.partitionBy("row", "template", "chain").orderBy("diagonal")
+
+    def span(drift: int) -> Column:
+        """The span of a diagonal and those up to ``drift`` after it; its share is of distinct places."""
+        on = near.rangeBetween(0, drift)
+        share = F.bit_count(F.bit_or("places").over(on)) / F.col("grams")
+        return F.struct(share.alias("share"), F.lit(-drift).alias("drift"), F.min("at0").over(on).alias("first"), F.max("at1").over(on).alias("last"))
+
+    # The best span from each diagonal, the tightest of equals; a phrase has one diagonal only.
+    spans = F.array(*map(span, range(2 * slack + 1)))
     merged = (
-        votes.withColumn("starts", F.coalesce(apart, F.lit(True)).cast("int"))
-        .withColumn("span", F.sum("starts").over(of))
-        .groupBy("row", "doc_id", "template", "label", "exact", "grams", "span")
-        .agg(
-            F.sum("votes").alias("votes"), F.max("n_words").alias("n_words"), F.min("diagonal").alias("start"),
-            F.min(F.col("diagonal") + F.col("t0")).alias("first"), F.max(F.col("diagonal") + F.col("t1") + K - 1).alias("last"),
-        )
-        .withColumn("share", F.when(F.col("template").isNotNull(), F.least(F.lit(1.0), F.col("votes") / F.col("grams"))))
+        chains.withColumn("spans", spans)
+        .withColumn("x", F.when(F.col("exact"), F.col("spans")[0]).otherwise(F.array_max("spans")))
+        .select("row", "doc_id", "template", "label", "exact", "chain", "diagonal", "n_words", "x.share", "x.first", "x.last")
+        # of spans that begin on near diagonals, the best
+        .withColumn("around", F.max("share").over(near.rangeBetween(-2 * slack, 2 * slack)))
+        .filter("exact OR template IS NULL OR share = around")
         # of templates found in one place (versions of a license), the best
         .withColumn("best", F.max("share").over(Window.partitionBy("row", "first")))
     )
-    # A phrase is there only with all of its k-grams on one diagonal; a notice with enough in a span not much longer.
-    whole = F.col("exact") & (F.col("votes") == F.col("grams"))
-    fits = F.col("last") - F.col("first") + 1 <= F.col("grams") + K - 1 + 2 * slack
-    good = whole | (~F.col("exact") & (F.col("share") >= coverage) & (F.col("share") == F.col("best")) & fits)
+    # A phrase is there only with all of its k-grams on one diagonal; a notice with enough in a span.
+    whole = F.col("exact") & (F.col("share") == 1)
+    good = whole | (~F.col("exact") & (F.col("share") >= coverage) & (F.col("share") == F.col("best")))
     labels = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
     return (
         merged.groupBy("row", "doc_id")
         .agg(
             F.max("n_words").cast("long").alias("n_words"),
             F.count(F.when(whole, 1)).alias("n_base"),
-            F.min(F.when(whole, F.col("start"))).cast("long").alias("first_word"),
-            F.max(F.when(whole, F.col("start"))).cast("long").alias("last_word"),
+            F.min(F.when(whole, F.col("diagonal"))).cast("long").alias("first_word"),
+            F.max(F.when(whole, F.col("diagonal"))).cast("long").alias("last_word"),
             labels(whole).alias("base_labels"),
             labels(good).alias("labels"),
             F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),

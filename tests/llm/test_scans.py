@@ -42,6 +42,20 @@ def test_reworded_notice_is_found(spark, messy):
     assert by_id[2]["labels"] == "" and 0 < by_id[2]["score"] < 0.7
 
 
+def test_repeated_notices_are_found(spark, messy):
+    line = "All rights reserved. "
+    bsd = dict((label, t) for t, label in licenses.NOTICES)["bsd"]
+    doubled = bsd.replace("with or without", "with or without or without", 1).replace("are permitted", "are permitted are permitted", 1)
+    rows = [(n, "intro " + line * n) for n in (1, 2, 3, 4, 5, 12, 5000)]
+    rows += [(100, "x ".join([bsd + " "] * 4)), (101, doubled), (102, "all rights all rights reserved all rights")]
+    got = {r["doc_id"]: r for r in licenses.scan(messy(rows)).collect()}
+    for n in (1, 2, 3, 4, 5, 12, 5000):
+        assert got[n]["labels"] == "all-rights-reserved" and got[n]["score"] == 1
+        assert [(s["first"], s["last"]) for s in got[n]["spans"]] == [(1 + 3 * i, 3 + 3 * i) for i in range(n)]
+    assert got[100]["labels"] == "bsd" and len(got[100]["spans"]) == 4
+    assert got[101]["labels"] == "bsd" and got[102]["labels"] == "all-rights-reserved"
+
+
 def test_op4(spark, sf_dir, documents):
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op4_decontamination"](spark, sf_dir).collect()}
