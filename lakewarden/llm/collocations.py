@@ -4,6 +4,10 @@ A word and the words after it, as lead columns padded where the piece of text en
 one window of ``order`` words, and only such windows are counted. The counts of all shorter
 phrases are sums of them: ROLLUP drops the last column, then the last two, and so on, so
 a phrase of k words counts the windows that begin with it.
+
+Most windows are rare, and rare windows are most of a shuffle. A bitmap of fixed size says
+which pairs of words may be frequent; windows are padded from the first other pair on, so
+most of them fold into shorter ones in the task that reads them.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ ENDS = ".,;:!?\n\x0b\x0c\r"
 CAPS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The padding of a window; a word is never empty.
 PAD = ""
+#: Bits of the bitmap of frequent pairs (8 MB).
+SLOTS = 1 << 26
 
 
 def _words_columns(order: int) -> list[str]:
@@ -37,22 +43,54 @@ def windows(docs: DataFrame, order: int) -> DataFrame:
     return found.select("lang", "w0", *(F.coalesce(c, F.lit(PAD)).alias(c) for c in _words_columns(order)[1:]))
 
 
-def phrase_counts(docs: DataFrame, order: int, least: int) -> DataFrame:
+def frequent_pairs(found: DataFrame, least: int, slots: int) -> DataFrame:
+    """(block, words): a bitmap of ``slots`` bits (a power of two) with a bit for every hash
+    slot whose pairs of neighbouring words occur ``least`` times or more together, as
+    rows of 64 words of 64 bits. Its size does not depend on the data."""
+    counts = found.filter(F.col("w1") != PAD).groupBy(_slot("w0", "w1", slots).alias("slot")).agg(F.count(F.lit(1)).alias("f")).filter(F.col("f") >= least)
+    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
+    words = counts.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    filled = F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(F.lit(63)), "bits")))
+    blocks = words.groupBy(F.shiftright("word", 6).alias("block")).agg(filled.alias("filled"))
+    whole = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long")), lambda i: F.coalesce(F.col("filled")[i], F.lit(0).cast("long")))
+    return blocks.select("block", whole.alias("words"))
+
+
+def _slot(first: str, second: str, slots: int) -> Column:
+    return F.xxhash64("lang", first, second).bitwiseAND(F.lit(slots - 1))
+
+
+def shortened(found: DataFrame, order: int, least: int, slots: int) -> DataFrame:
+    """Windows cut, that is padded, before the first pair of words that is too rare for any
+    phrase of ``least`` occurrences to hold it. Pairs that share a slot with others may stay
+    for nothing; a phrase that occurs often enough loses no window."""
+    bits = stored(frequent_pairs(found, least, slots), "frequent-pairs")
+    names, whole = _words_columns(order), F.lit(True)
+    kept = {}
+    for i, (first, second) in enumerate(zip(names, names[1:], strict=False)):
+        slot = _slot(first, second, slots)
+        # at most slots / 4096 rows of 64 longs
+        side = F.broadcast(bits.select(F.col("block").alias(f"block_{i}"), F.col("words").alias(f"words_{i}")))
+        found = found.join(side, F.shiftright(slot, 12) == F.col(f"block_{i}"), "left")
+        word = F.element_at(f"words_{i}", (F.shiftright(slot, 6).bitwiseAND(F.lit(63)) + 1).cast("int"))
+        whole = whole & F.coalesce(F.getbit(word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+        kept[second] = F.when(whole, F.col(second)).otherwise(PAD)
+    return found.select("lang", names[0], *(c.alias(n) for n, c in kept.items()))
+
+
+def phrase_counts(docs: DataFrame, order: int, least: int, slots: int = SLOTS) -> DataFrame:
     """(lang, size, phrase, f) of all phrases of up to ``order`` words with f >= least, and
     with size 0 the number of words of each lang. Longest windows are shuffled once,
     folded by task before; the sums of their prefixes are folded again before they are."""
     names = _words_columns(order)
-    longest = windows(docs, order).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("f"))
-    shorter = longest.rollup("lang", *names[:-1]).agg(F.sum("f").alias("f"), F.grouping_id().alias("dropped"))
-    # the grouping id has a bit for each column left out, so order - 1 - bit_count columns of words are left
-    size = F.lit(order - 1) - F.bit_count("dropped")
-    shorter = shorter.filter(F.col("lang").isNotNull()).select("lang", size.cast("int").alias("size"), *names[:-1], F.lit(None).cast("string").alias(names[-1]), "f")
-    every = longest.select("lang", F.lit(order).alias("size"), *names, "f").unionByName(shorter)
+    longest = shortened(windows(docs, order), order, least, slots).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("f"))
+    every = longest.rollup("lang", *names).agg(F.sum("f").alias("f"), F.grouping_id().alias("dropped")).filter(F.col("lang").isNotNull())
+    # the grouping id has a bit for each column left out; such columns are null
+    size = (F.lit(order) - F.bit_count("dropped")).cast("int")
     # a padded window is no phrase of its full length: its last word is the padding
-    last = F.element_at(F.array(*names), F.greatest("size", F.lit(1)))
-    kept = every.filter((F.col("size") == 0) | ((F.col("f") >= least) & (last != PAD)))
-    phrase = F.array_join(F.slice(F.array(*names), F.lit(1), F.col("size")), " ")
-    return kept.select("lang", "size", phrase.alias("phrase"), "f")
+    last = F.coalesce(*(F.col(c) for c in reversed(names)))
+    kept = every.filter(last.isNull() | ((F.col("f") >= least) & (last != PAD)))
+    return kept.select("lang", size.alias("size"), F.concat_ws(" ", *names).alias("phrase"), "f")
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
