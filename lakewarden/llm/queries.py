@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewarden.llm import collocations, decontaminate, fingerprints, language, licenses, merkle, near_dups, oracle, packing, secrets, token_files, toxicity, warc
+from lakewarden.llm import best_fit, collocations, decontaminate, fingerprints, language, licenses, merkle, near_dups, oracle, packing, secrets, token_files, toxicity, warc
 from lakewarden.llm.common import held_out, shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,11 +79,16 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), tampered=merkle.tampered_rows())
 
 
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_whole(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES |= {
     "op1_licenses": op1_licenses, "op2_token_files": op2_token_files, "op3_warc": op3_warc, "op4_decontamination": op4_decontamination, "op5_near_dups": op5_near_dups,
     "op6_fingerprints": op6_fingerprints,
     "op7_secrets": op7_secrets,
     "op8_language": op8_language, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing,
     "op11_collocations": op11_collocations, "op12_merkle": op12_merkle,
+    "op13_best_fit": op13_best_fit,
 }
 ORACLE |= {"op11_collocations": oracle.COLLOCATIONS, "op12_merkle": oracle.MERKLE}
