@@ -84,13 +84,17 @@ def phrase_counts(docs: DataFrame, order: int, least: int, slots: int = SLOTS) -
     folded by task before; the sums of their prefixes are folded again before they are."""
     names = _words_columns(order)
     longest = shortened(windows(docs, order), order, least, slots).groupBy("lang", *names).agg(F.count(F.lit(1)).alias("f"))
-    every = longest.rollup("lang", *names).agg(F.sum("f").alias("f"), F.grouping_id().alias("dropped")).filter(F.col("lang").isNotNull())
+    enough = F.col("f") >= least
+    # a padded window is no phrase of its full length; asked of counted rows only, so that
+    # both uses of the windows have one plan and share its shuffle
+    full = longest.filter(enough & (F.when(enough, F.col(names[-1])) != PAD))
+    shorter = longest.rollup("lang", *names[:-1]).agg(F.sum("f").alias("f"), F.grouping_id().alias("dropped")).filter(F.col("lang").isNotNull())
     # the grouping id has a bit for each column left out; such columns are null
-    size = (F.lit(order) - F.bit_count("dropped")).cast("int")
-    # a padded window is no phrase of its full length: its last word is the padding
-    last = F.coalesce(*(F.col(c) for c in reversed(names)))
-    kept = every.filter(last.isNull() | ((F.col("f") >= least) & (last != PAD)))
-    return kept.select("lang", size.alias("size"), F.concat_ws(" ", *names).alias("phrase"), "f")
+    size = (F.lit(order - 1) - F.bit_count("dropped")).cast("int")
+    last = F.coalesce(*(F.col(c) for c in reversed(names[:-1])))
+    shorter = shorter.filter(last.isNull() | (enough & (last != PAD)))
+    full = full.select("lang", F.lit(order).alias("size"), F.concat_ws(" ", *names).alias("phrase"), "f")
+    return full.unionByName(shorter.select("lang", size.alias("size"), F.concat_ws(" ", *names[:-1]).alias("phrase"), "f"))
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -110,7 +114,7 @@ def _top(rows: DataFrame, per: str, order: list[Column], top: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= top)
 
 
-def collocations(docs: DataFrame, order: int = 3, least: int = 10, inside_percent: int = 50, top: int = 2000) -> DataFrame:
+def collocations(docs: DataFrame, order: int = 3, least: int = 10, inside_percent: int = 50, top: int = 2000, slots: int = SLOTS) -> DataFrame:
     """The ``top`` phrases of each lang of ``docs`` (text, lang; other columns are ignored):
     lang, rank, phrase, a, l, r, n and score.
 
@@ -119,7 +123,7 @@ def collocations(docs: DataFrame, order: int = 3, least: int = 10, inside_percen
     ``order`` words and occur ``least`` times or more; one is dropped if it stands inside
     a longer candidate with at least ``inside_percent`` percent of its count. Ties of
     score and count go by the bytes of the phrase. A table without words gives no rows."""
-    counts = stored(phrase_counts(docs, order, least), "phrase-counts")
+    counts = stored(phrase_counts(docs, order, least, slots), "phrase-counts")
     several = counts.filter("size > 1").select("lang", "size", "phrase", F.col("f").alias("a"))
     words = F.split("phrase", " ")
     span = lambda at, n: F.array_join(F.slice(words, at, n), " ")
