@@ -79,8 +79,9 @@ class Packer:
             yield from self._close(held)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, grain: int = 16, cache_size: int = 300_000) -> DataFrame:
-    """One row per piece, with its ids as little-endian unsigned 32-bit integers.
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, grain: int = 16, cache_size: int = 300_000, with_ids: bool = True) -> DataFrame:
+    """One row per piece, with its ids as little-endian unsigned 32-bit integers, which
+    stay in the worker unless ``with_ids`` asks for them.
 
     ``docs`` needs doc_id and text; other columns are ignored. A null or empty text
     is the end id alone. Rows that repeat a doc_id, or have a null one, are packed
@@ -88,15 +89,16 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
     unique; it has the worker's partition in the upper bits. A recomputed task
     packs the same rows in the same order."""
     end = np.array([end_id], "<u4").tobytes()
+    columns = PIECES.split(", ") if with_ids else PIECES.split(", ")[:-1]
+    types, names = _TYPES[: len(columns)], _NAMES[: len(columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, packer = token_ids(tokenizer, cache_size), Packer(capacity, TaskContext.get().partitionId() << 40)
         rows: list[tuple] = []
 
         def out(rows):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES
-            )
+            # a shorter list of types leaves out the ids, the last column
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names)
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -111,7 +113,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0,
         if rows:
             yield out(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ", ".join(columns))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
