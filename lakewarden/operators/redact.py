@@ -42,14 +42,34 @@ def _number_parts(c: Column, dtype: T.DataType) -> Column:
     return let(number_text(c, dtype.simpleString()), parts)
 
 
+def may_hold_card(dtype: T.DataType) -> bool:
+    """Whether a number of this type can print a run of 13 digits; the type alone says so."""
+    if isinstance(dtype, T.DecimalType):
+        return max(dtype.precision - dtype.scale, dtype.scale) >= pii.MIN_CARD_DIGITS
+    return is_numeric(dtype) and not isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType))
+
+
+def _worth_printing(c: Column, dtype: T.DataType) -> Column:
+    """A cheap condition that every number with a card-shaped run meets. Short doubles
+    have no run of 13 digits, but for those that Java prints with an exponent."""
+    if isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType):
+        size = F.abs(c.cast("double"))
+        return (size >= 1e12) | ((size < 1e-3) & (size > 0)) | (F.length(c.cast("double").cast("string")) > pii.MIN_CARD_DIGITS)
+    if isinstance(dtype, T.DecimalType) and dtype.scale >= pii.MIN_CARD_DIGITS:
+        return c.isNotNull()
+    return ~c.between(1 - 10 ** (pii.MIN_CARD_DIGITS - 1), 10 ** (pii.MIN_CARD_DIGITS - 1) - 1)
+
+
 def numeric_hits(c: Column, dtype: T.DataType) -> Column:
     """How many card numbers a number reads as (bigint)."""
+    if not may_hold_card(dtype):
+        return F.lit(0).cast("bigint")
     if isinstance(dtype, T.IntegralType):
         digits = F.ltrim(c.cast("string"), F.lit("-"))
-        long_enough = F.length(digits).between(pii.MIN_CARD_DIGITS, MAX_CARD_DIGITS)
-        return F.when(long_enough & F.call_function("luhn_check", digits), 1).otherwise(0).cast("bigint")
+        found = (F.length(digits) <= MAX_CARD_DIGITS) & F.call_function("luhn_check", digits)
+        return F.when(_worth_printing(c, dtype) & found, 1).otherwise(0).cast("bigint")
     found = let(_number_parts(c, dtype), lambda p: p["whole_hit"].cast("bigint") + p["fraction_hit"].cast("bigint"))
-    return F.coalesce(found, F.lit(0).cast("bigint"))
+    return F.coalesce(F.when(_worth_printing(c, dtype), found), F.lit(0).cast("bigint"))
 
 
 def numeric_as_text(c: Column, dtype: T.DataType) -> Column:
@@ -67,6 +87,19 @@ def numeric_as_text(c: Column, dtype: T.DataType) -> Column:
     return F.when(c.isNotNull(), let(_number_parts(c, dtype), shown))
 
 
+def redact_number(c: Column, dtype: T.DataType, numeric: str) -> Column:
+    """A number under one of the rules of `redact`; the rule and the type alone fix the
+    type of the result."""
+    if numeric == "string":
+        return numeric_as_text(c, dtype)
+    if numeric == "skip" or not may_hold_card(dtype):
+        return c
+    hit = numeric_hits(c, dtype) > 0
+    if numeric == "null":
+        return F.when(~hit, c)
+    return F.when(hit, numeric_as_text(c, dtype).cast("variant")).otherwise(c.cast("variant"))
+
+
 def _last_entry_per_key(entries: Column) -> Column:
     """Two keys can redact to one token; the later entry wins."""
     return F.filter(
@@ -88,28 +121,27 @@ def as_text(c: Column, dtype: T.DataType) -> Column:
     return F.to_json(c) if isinstance(dtype, T.VariantType) else c
 
 
-def redact_value(c: Column, dtype: T.DataType, numbers: bool) -> Column:
-    """Redact any value by walking its type. `numbers` turns every number into
-    text and redacts it; otherwise numbers pass through."""
+def redact_value(c: Column, dtype: T.DataType, numeric: str) -> Column:
+    """Redact any value by walking its type; numbers follow the rule `numeric` of `redact`.
+    A map's keys can be neither variants nor null, so there such numbers become text."""
     if isinstance(dtype, _TEXT_LIKE):
         return pii.redact_text(as_text(c, dtype))
     if isinstance(dtype, T.StructType):
-        fields = [redact_value(c[f.name], f.dataType, numbers).alias(n) for n, f in _named(dtype)]
+        fields = [redact_value(c[f.name], f.dataType, numeric).alias(n) for n, f in _named(dtype)]
         return F.when(c.isNotNull(), F.struct(*fields))
     if isinstance(dtype, T.ArrayType):
-        return F.transform(c, lambda v: redact_value(v, dtype.elementType, numbers))
+        return F.transform(c, lambda v: redact_value(v, dtype.elementType, numeric))
     if isinstance(dtype, T.MapType):
+        of_keys = "string" if numeric in ("variant", "null") and _holds_number(dtype.keyType) else numeric
         pairs = F.transform(
             F.map_entries(c),
             lambda e: F.struct(
-                redact_value(e["key"], dtype.keyType, numbers).alias("key"),
-                redact_value(e["value"], dtype.valueType, numbers).alias("value"),
+                redact_value(e["key"], dtype.keyType, of_keys).alias("key"),
+                redact_value(e["value"], dtype.valueType, numeric).alias("value"),
             ),
         )
         return F.map_from_entries(F.transform(F.array(pairs), _last_entry_per_key)[0])
-    if numbers and is_numeric(dtype):
-        return numeric_as_text(c, dtype)
-    return c
+    return redact_number(c, dtype, numeric) if is_numeric(dtype) else c
 
 
 def _named(struct: T.StructType) -> list[tuple[str, T.StructField]]:
@@ -138,81 +170,62 @@ def _leaves(c: Column, dtype: T.DataType, pick, kind: str) -> list[Column]:
     return [] if leaf is None else [F.array(leaf)]
 
 
-def _leaf_text(numbers: bool):
-    def pick(c: Column, dtype: T.DataType) -> Column | None:
-        if isinstance(dtype, _TEXT_LIKE):
-            return as_text(c, dtype)
-        return number_text(c, dtype.simpleString()) if numbers and is_numeric(dtype) else None
-
-    return pick
+def _leaf_text(c: Column, dtype: T.DataType) -> Column | None:
+    return as_text(c, dtype) if isinstance(dtype, _TEXT_LIKE) else None
 
 
-def _number_hits(c: Column, dtype: T.DataType) -> Column | None:
-    return numeric_hits(c, dtype) if is_numeric(dtype) else None
+def _leaf_hits(c: Column, dtype: T.DataType) -> Column | None:
+    return numeric_hits(c, dtype) if may_hold_card(dtype) else None
 
 
 def _holds_number(dtype: T.DataType) -> bool:
+    """Whether some number below may read as a card."""
     if isinstance(dtype, T.ArrayType):
         return _holds_number(dtype.elementType)
     if isinstance(dtype, T.MapType):
         return _holds_number(dtype.keyType) or _holds_number(dtype.valueType)
     if isinstance(dtype, T.StructType):
         return any(_holds_number(f.dataType) for f in dtype.fields)
-    return is_numeric(dtype)
+    return may_hold_card(dtype)
 
 
-def columns_with_numeric_pii(df: DataFrame) -> list[str]:
-    """Columns where some number reads as a card, found in one aggregate."""
-    probes = []
-    for f in df.schema.fields:
-        if not _holds_number(f.dataType):
-            continue
-        c = F.col(f"`{f.name}`")
-        hits = F.concat(*_leaves(c, f.dataType, _number_hits, "bigint"))
-        probes.append(F.bool_or(F.exists(hits, lambda n: n > 0)).alias(f.name))
-    if not probes:
-        return []
-    found = df.agg(*probes).first().asDict()
-    return [name for name, hit in found.items() if hit]
-
-
-def redact(df: DataFrame, *, numeric: str = "probe", counts: str | None = None) -> DataFrame:
-    """Redact every column of a DataFrame, names included.
-
-    A DataFrame column has one type, so a numeric column with a hit becomes
-    text. `numeric` says when: "probe" looks first (one aggregate over the
-    numeric columns) and converts only columns with a hit, "string" converts
-    all of them, "skip" leaves numbers alone. `counts` names a per-row struct
-    of totals by type.
+def redact(df: DataFrame, *, numeric: str = "variant", counts: str | None = None) -> DataFrame:
+    """Redact every column of a DataFrame, names included, in one pass.
+
+    A number that reads as a card is redacted like text. `numeric` says how, and the
+    column's type alone decides what it becomes, never the rows: with "variant" a number
+    that can print 13 digits (bigint, float, double, wide decimal) becomes a VARIANT that
+    holds the number, or the mark as text where it is a card; `as_numbers` gives typed
+    columns back. With "null" types stay and a card is null, with "string" every number
+    becomes text, with "skip" numbers are left alone. Narrower numbers always stay, but
+    for "string". `counts` names a per-row struct of totals by type.
     """
+    if numeric not in ("variant", "null", "string", "skip"):
+        raise ValueError(f"unknown rule for numbers: {numeric}")
     # Columns are addressed by position: a query's result may have equal names.
     names = df.columns
     df = df.toDF(*[f"__{i}" for i in range(len(names))])
-    fields = df.schema.fields
-    if numeric == "string":
-        in_text = {f.name for f in fields if _holds_number(f.dataType)}
-    else:
-        in_text = set(columns_with_numeric_pii(df)) if numeric == "probe" else set()
-    texts = {f.name: as_text(F.col(f.name), f.dataType) for f in fields if isinstance(f.dataType, (T.BinaryType, T.VariantType))}
+    texts = {f.name: as_text(F.col(f.name), f.dataType) for f in df.schema.fields if isinstance(f.dataType, (T.BinaryType, T.VariantType))}
     df = df.withColumns(texts) if texts else df
-    fields = df.schema.fields
-    flat = []
+    flat, leaves, hits = [], [], []
     replaced: dict[str, Column] = {}
-    leaves = []
-    for f in fields:
+    for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        numbers = f.name in in_text
         if isinstance(f.dataType, T.StringType):
             flat.append(f.name)
-        elif numbers or isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
-            replaced[f.name] = redact_value(c, f.dataType, numbers)
-            leaves += _leaves(c, f.dataType, _leaf_text(numbers), "string")
+        elif is_numeric(f.dataType) or isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            replaced[f.name] = redact_value(c, f.dataType, numeric)
+            leaves += _leaves(c, f.dataType, _leaf_text, "string")
+            hits += _leaves(c, f.dataType, _leaf_hits, "bigint") if numeric != "skip" else []
     out = df
     if counts and leaves:
         # Leaves are counted as one text: no pattern can match across a NUL.
-        out = df.withColumn(_LEAVES, F.array_join(F.concat(*leaves), "\0"))
+        out = out.withColumn(_LEAVES, F.array_join(F.concat(*leaves), "\0"))
         flat = [*flat, _LEAVES]
     out = pii.redact_columns(out, flat, counts=counts)
+    if counts and hits:
+        cards = F.aggregate(F.concat(*hits), F.lit(0).cast("bigint"), lambda a, n: a + n)
+        out = out.withColumn(counts, F.col(counts).withField("credit_card", F.col(counts)["credit_card"] + cards))
     if replaced:
         out = out.withColumns(replaced)
     # Names that become one by redaction: the later column wins. Equal names both stay.
@@ -224,6 +237,22 @@ def redact(df: DataFrame, *, numeric: str = "probe", counts: str | None = None)
     return out.select(*chosen, *([F.col(counts)] if counts else []))
 
 
+def as_numbers(df: DataFrame, like: T.StructType) -> DataFrame:
+    """Variant columns of a redacted frame in the number types they have in `like`, its
+    schema before redaction: a redacted number is null, and others are exact. Columns are
+    met by position, and nested values stay as they are."""
+    if len(df.columns) != len(like.fields):
+        raise ValueError("the frame has other columns than the schema")
+    names = df.columns
+    rows = df.toDF(*[f"__{i}" for i in range(len(names))])
+    typed = [
+        F.try_variant_get(f"__{i}", "$", f.dataType.simpleString())
+        if is_numeric(f.dataType) and isinstance(rows.schema[i].dataType, T.VariantType) else F.col(f"__{i}")
+        for i, f in enumerate(like.fields)
+    ]
+    return rows.select(*(c.alias(n) for c, n in zip(typed, names, strict=True)))
+
+
 def redact_free_text(c: Column | str, cap: int | None = None) -> Column:
     """A description or rationale, redacted; cut before at `cap` characters if one is given."""
     return pii.redact_text(col(c) if cap is None else F.substring(col(c), 1, cap))

@@ -11,13 +11,14 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lakewarden.functions import pii
 from lakewarden.operators import audit as audit_ops
 from lakewarden.operators.metrics import render_requests
 from lakewarden.operators.policy import credential_basis, decide_one, deny_reason, named_mask, strip_masked, visible
 from lakewarden.operators.questions import route_questions
-from lakewarden.operators.redact import redact
+from lakewarden.operators.redact import as_numbers, redact
 from lakewarden.sources.sqlplan import objection
 from lakewarden.sources.sqltext import is_select, one_statement
 
@@ -56,8 +57,13 @@ class GovernedResult:
     lineage: dict
     observation: Observation
     include_pii: bool
+    schema: StructType
     _audit: Callable[[dict], None] | None = field(default=None, repr=False)
 
+    def numbers(self) -> DataFrame:
+        """The result with the query's own number types; redacted numbers are null."""
+        return self.dataframe if self.include_pii else as_numbers(self.dataframe, self.schema)
+
     @property
     def pii_counts(self) -> dict[str, int]:
         if self.include_pii:
@@ -142,13 +148,15 @@ class GovernedSession:
 
     def query(
         self, source_id: str, sql: str, identity: Identity, *, limit: int | None = None, include_pii: bool = False,
-        mode: str = "result", numeric: str = "probe",
+        mode: str = "result", numeric: str = "variant",
     ) -> GovernedResult:
         """Run SQL over a source's governed views.
 
         Masked columns are absent from the views and from the result. The
         result is redacted unless an admin asks for the raw view; mode="view"
-        redacts the views instead, so predicates see redacted values too.
+        redacts the views instead, so predicates see redacted values too; there
+        numbers keep their types and a card number is null. `numeric` is the rule
+        of `redact` for the result's numbers.
         """
         if include_pii and not identity.is_admin:
             raise AccessDenied("raw rows require an admin identity")
@@ -182,7 +190,7 @@ class GovernedSession:
                 continue  # a table the text never names is not read
             view = strip_masked(load(session), masked)
             if mode == "view" and not include_pii:
-                view = redact(view, numeric=numeric)
+                view = redact(view, numeric="null")
             view.createOrReplaceTempView(name)
         session.conf.set("spark.sql.runSQLOnFiles", "false")
         rows = strip_masked(session.sql(sql), masked)
@@ -206,7 +214,7 @@ class GovernedSession:
         def finish(details: dict) -> None:
             self._log("query_result", source_id, identity, base | details)
 
-        return GovernedResult(out, lineage, seen, include_pii, finish)
+        return GovernedResult(out, lineage, seen, include_pii, rows.schema, finish)
 
     def _evaluate(self, **columns) -> dict:
         """Column expressions over constants: folded on the driver, no job."""

@@ -9,10 +9,10 @@ from lakewarden.operators.policy import decide, strip_masked
 from lakewarden.operators.redact import redact
 
 
-def governed_stream(rows: DataFrame, masked: list[str], *, numbers_as_text: bool = False) -> DataFrame:
-    """Mask and redact rows before they land: stateless projections only. A
-    stream cannot be probed first, so numbers are all text or left alone."""
-    return redact(strip_masked(rows, masked), numeric="string" if numbers_as_text else "skip")
+def governed_stream(rows: DataFrame, masked: list[str], *, numeric: str = "variant") -> DataFrame:
+    """Mask and redact rows before they land, with the result that a batch has: stateless
+    projections only, typed by the schema."""
+    return redact(strip_masked(rows, masked), numeric=numeric)
 
 
 def audit_rollup(audit: DataFrame, *, every: str = "1 minute", late: str = "10 minutes") -> DataFrame:

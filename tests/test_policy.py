@@ -132,8 +132,8 @@ def test_files_cannot_be_named_from_sql(session, tmp_path):
 
 def test_view_mode_redacts_before_predicates(session):
     sql = "SELECT count(*) AS n FROM people WHERE email = 'ann@example.com'"
-    assert session.query("crm", sql, Identity("k")).dataframe.first().n == 1
-    assert session.query("crm", sql, Identity("k"), mode="view").dataframe.first().n == 0
+    assert session.query("crm", sql, Identity("k")).numbers().first().n == 1
+    assert session.query("crm", sql, Identity("k"), mode="view").numbers().first().n == 0
 
 
 def test_admin_raw_view(session):
@@ -214,3 +214,13 @@ def test_metric_and_question_flow(spark, session):
     assert routed["answered"] and [r.id for r in answered.dataframe.collect()] == [2]
     nothing, why = session.ask(metrics, "weather tomorrow?", Identity("k"))
     assert nothing is None and why["reason"] == "no approved metric matches this question"
+
+
+def test_card_numbers_of_a_result_are_redacted_row_by_row(spark, session):
+    sql = "SELECT id, CASE WHEN id = 1 THEN 4532015112830366 ELSE id + 10 END AS account FROM people ORDER BY id"
+    result = session.query("crm", sql, Identity("k"))
+    got = [r.account.toPython() for r in result.dataframe.collect()]
+    assert got[0] == "[REDACTED:credit_card]" and got[1:] == [r + 10 for r in range(2, 2 + len(got) - 1)]
+    assert result.record() == {"credit_card": 1}
+    assert [r.account for r in session.query("crm", sql, Identity("k")).numbers().collect()] == [None, *got[1:]]
+    assert result.numbers().schema["account"].dataType == result.schema["account"].dataType

@@ -31,3 +31,10 @@ def test_rollup_and_decisions(spark, tmp_path):
     policies = spark.sql("SELECT 'd' AS name, 'deny' AS effect, '*' AS resource_id, array('read') AS actions, array('k') AS subjects, CAST(NULL AS array<string>) AS mask_columns")
     asked = stream.selectExpr("api_key_id AS subject", "false AS is_admin", "'read' AS action", "datasource_id")
     assert {r.allowed for r in drain(decided_stream(asked, policies), "decided", tmp_path)} == {False}
+
+
+def test_streams_redact_numbers_as_batches_do(spark, tmp_path):
+    spark.sql("SELECT 1 AS id, 4532015112830366 AS card UNION ALL SELECT 2, 17").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id int, card bigint").parquet(str(tmp_path / "in"))
+    rows = drain(governed_stream(stream, []), "numbers", tmp_path)
+    assert {r.id: r.card.toPython() for r in rows} == {1: "[REDACTED:credit_card]", 2: 17}

@@ -24,7 +24,7 @@ def _same(name: str, sql: str):
 
     @query(name, sql)
     def run(spark, sf_dir):
-        return governed(spark, sf_dir, sql, numeric="skip").dataframe
+        return governed(spark, sf_dir, sql).numbers()
 
     return run
 
@@ -73,7 +73,7 @@ _same(
 
 @query("governed_masked", "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM customer")
 def governed_masked(spark, sf_dir):
-    return governed(spark, sf_dir, "SELECT * FROM customer", numeric="skip").dataframe
+    return governed(spark, sf_dir, "SELECT * FROM customer").numbers()
 
 
 @query(
@@ -82,7 +82,7 @@ def governed_masked(spark, sf_dir):
     SELECT doc_id, source, t AS text FROM r5""",
 )
 def governed_documents(spark, sf_dir):
-    return governed(spark, sf_dir, "SELECT doc_id, source, text FROM documents").dataframe
+    return governed(spark, sf_dir, "SELECT doc_id, source, text FROM documents").numbers()
 
 
 @query(
@@ -92,6 +92,6 @@ def governed_documents(spark, sf_dir):
 )
 def governed_view_mode(spark, sf_dir):
     sql = "SELECT lang, count(*) AS documents FROM documents WHERE text LIKE '%[REDACTED:%' GROUP BY lang"
-    return governed(spark, sf_dir, sql, mode="view", numeric="skip").dataframe
+    return governed(spark, sf_dir, sql, mode="view").numbers()
 
 

@@ -132,7 +132,7 @@ def pii_profile_documents(spark, sf_dir):
 )
 def pii_totals_documents(spark, sf_dir):
     docs = use_all_cores(table(spark, sf_dir, "documents")).select("doc_id", "text")
-    return total_counts(redact(docs, numeric="skip", counts="n"), "n")
+    return total_counts(redact(docs, counts="n"), "n")
 
 
 @query(
@@ -149,9 +149,9 @@ def pii_nested_rows(spark, sf_dir):
         F.array("text", "source").alias("items"),
         F.create_map("lang", "text").alias("by_lang"),
     )
-    out = redact(nested, numeric="skip", counts="n")
+    out = redact(nested, counts="n")
     return out.select(
-        "doc_id", F.col("body.text").alias("inner_text"), F.array_join("items", "|").alias("list_text"),
+        F.try_variant_get("doc_id", "$", "bigint").alias("doc_id"), F.col("body.text").alias("inner_text"), F.array_join("items", "|").alias("list_text"),
         F.map_values("by_lang")[0].alias("map_value"), F.map_keys("by_lang")[0].alias("map_key"),
         *[F.col(f"n.{t}") for t in PII_TYPES],
     )
@@ -167,7 +167,25 @@ _CARD_NUMBER = "1000000000000000 + o_orderkey * 7919 + o_custkey"
 )
 def pii_numeric_columns(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_CARD_NUMBER).alias("account"))
-    return redact(orders, numeric="probe")
+    return redact(orders).select(F.try_variant_get("o_orderkey", "$", "bigint").alias("o_orderkey"), F.col("account").cast("string").alias("account"))
+
+
+_IS_CARD = _luhn(f"CAST({_CARD_NUMBER} AS VARCHAR)")
+
+
+@query(
+    "pii_numbers_by_row",
+    f"""SELECT CASE WHEN {_IS_CARD} THEN 'STRING' ELSE 'BIGINT' END AS kind, count(*) AS numbers,
+      CAST(sum(CASE WHEN {_IS_CARD} THEN 1 ELSE 0 END) AS BIGINT) AS cards,
+      CAST(sum(CASE WHEN {_IS_CARD} THEN 0 ELSE ({_CARD_NUMBER}) % 1000 END) AS BIGINT) AS kept
+    FROM orders GROUP BY 1""",
+)
+def pii_numbers_by_row(spark, sf_dir):
+    """Numbers and marks side by side in one column: numbers stay numbers, row by row."""
+    orders = table(spark, sf_dir, "orders").select(F.expr(_CARD_NUMBER).alias("account"))
+    out = redact(orders, counts="n").withColumn("kind", F.expr("schema_of_variant(account)"))
+    kept = F.coalesce(F.when(F.col("kind") == "BIGINT", F.try_variant_get("account", "$", "bigint")) % 1000, F.lit(0))
+    return out.groupBy("kind").agg(F.count(F.lit(1)).alias("numbers"), F.sum("n.credit_card").alias("cards"), F.sum(kept).alias("kept"))
 
 
 @query(
