@@ -28,18 +28,24 @@ def local_session(cores: int | str = 8, **extra: str) -> SparkSession:
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder that spark.checkpoint.dir names, so a
-    result read by several branches is computed once and survives lost
-    executors. Only a local session without the setting gets its own folder."""
-    context = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors reach. Only a local
+    session without the setting gets a folder of its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
             named = tempfile.mkdtemp(prefix="lakewarden-checkpoint-")
         context.setCheckpointDir(named)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder, so a result read by several branches is computed
+    once and survives lost executors."""
+    shared_root(df.sparkSession)
     return df.checkpoint()
 
 

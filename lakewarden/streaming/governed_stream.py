@@ -23,7 +23,8 @@ def audit_rollup(audit: DataFrame, *, every: str = "1 minute", late: str = "10 m
         F.lit(0).cast("bigint"), lambda acc, n: acc + n,
     )
     return (
-        audit.withWatermark("timestamp", late)
+        audit.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+        .withWatermark("timestamp", late)
         .groupBy(F.window("timestamp", every), "action")
         .agg(
             F.count(F.lit(1)).alias("events"), F.count_if(~F.col("success")).alias("failed"),
@@ -36,3 +37,17 @@ def audit_rollup(audit: DataFrame, *, every: str = "1 minute", late: str = "10 m
 def decided_stream(requests: DataFrame, policies: DataFrame, *, default_deny: bool = False) -> DataFrame:
     """Decisions on a request stream against the static policy table."""
     return decide(requests, policies, default_deny=default_deny)
+
+
+def land(rows: DataFrame, path: str) -> DataFrame:
+    """All rows that are available now, appended under `path` exactly once, and read back.
+
+    The offsets and state stay beside the rows, so a later call with the same path takes
+    up where this one, or one that was lost, has stopped. Windows land when the watermark
+    has passed them."""
+    done = (
+        rows.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows")
+        .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    )
+    done.awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")

@@ -3,7 +3,7 @@
 import datetime as dt
 
 from lakewarden.operators import audit as A
-from lakewarden.streaming.governed_stream import audit_rollup, decided_stream, governed_stream
+from lakewarden.streaming.governed_stream import audit_rollup, decided_stream, governed_stream, land
 
 
 def drain(df, name, tmp_path, mode="append"):
@@ -38,3 +38,31 @@ def test_streams_redact_numbers_as_batches_do(spark, tmp_path):
     stream = spark.readStream.schema("id int, card bigint").parquet(str(tmp_path / "in"))
     rows = drain(governed_stream(stream, []), "numbers", tmp_path)
     assert {r.id: r.card.toPython() for r in rows} == {1: "[REDACTED:credit_card]", 2: 17}
+
+
+def test_landing_goes_on_where_it_stopped(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    write = lambda a, b: spark.range(a, b).selectExpr("id AS k", "concat('a', id, '@b.co') AS mail").write.mode("append").parquet(source)
+    write(0, 5)
+    stream = spark.readStream.schema("k bigint, mail string").parquet(source)
+    assert land(governed_stream(stream, [], numeric="null"), path).count() == 5
+    assert land(governed_stream(stream, [], numeric="null"), path).count() == 5
+    write(5, 9)
+    rows = land(governed_stream(stream, [], numeric="null"), path).collect()
+    assert sorted(r.k for r in rows) == list(range(9)) and {r.mail for r in rows} == {"[REDACTED:email]"}
+
+
+def test_rows_behind_the_watermark_are_left_out(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    start = dt.datetime(2024, 1, 1)
+
+    def write(*minutes):
+        rows = [(m, start + dt.timedelta(minutes=m), "query", "datasource", "d", "k", "d", None, True) for m in minutes]
+        spark.createDataFrame(rows, A.AUDIT_SCHEMA).write.mode("append").parquet(source)
+
+    write(0, 1, 30)
+    stream = spark.readStream.schema(A.AUDIT_SCHEMA).parquet(source)
+    assert {(r.window_start.minute, r.events) for r in land(audit_rollup(stream), path).collect()} == {(0, 1), (1, 1)}
+    write(1, 25, 60)  # 1 is behind 30 - 10, 25 is not
+    got = land(audit_rollup(stream), path).collect()
+    assert sorted((r.window_start.minute, r.events) for r in got) == [(0, 1), (1, 1), (25, 1), (30, 1)]

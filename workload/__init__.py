@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["pii", "policy", "governed", "joins", "state", "entities", "questions", "audit", "discovery", "landed"]
+_MODULES = ["pii", "policy", "governed", "joins", "state", "entities", "questions", "audit", "discovery", "landed", "streams"]
 
 
 def load_all():

@@ -43,7 +43,7 @@ def _decided(requests: str, action: str, default_deny: bool, out: str) -> str:
   FROM {requests} r LEFT JOIN {out}_sum s ON r.rid = s.rid LEFT JOIN {out}_mask m ON r.rid = m.rid)"""
 
 
-def _decision_sql(default_deny: bool) -> str:
+def decision_sql(default_deny: bool) -> str:
     return f"""WITH {_APPLICABLE}, rq AS (SELECT event_id AS rid, * FROM {{requests}}),
     touch AS (SELECT count(*) FROM {{policies}}), {_decided('rq', 'r.action', default_deny, 'd')}
     SELECT rid AS event_id, allowed, denied_by, default_denied,
@@ -57,12 +57,12 @@ def _decisions(spark, sf_dir, default_deny):
     )
 
 
-@query("policy_decisions", _decision_sql(False))
+@query("policy_decisions", decision_sql(False))
 def policy_decisions(spark, sf_dir):
     return _decisions(spark, sf_dir, False)
 
 
-@query("policy_decisions_default_deny", _decision_sql(True))
+@query("policy_decisions_default_deny", decision_sql(True))
 def policy_decisions_default_deny(spark, sf_dir):
     return _decisions(spark, sf_dir, True)
 
