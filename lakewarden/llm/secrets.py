@@ -148,7 +148,9 @@ def findings(docs: DataFrame, false_share: float = 0.01, least_random: float = 0
     # Benjamini-Hochberg by counts: LEVELS rows a class of lengths, so a fixed table of at most 32 x LEVELS rows.
     by_level = tested.groupBy("size", "level").agg(F.count(F.lit(1)).alias("n"))
     down, whole = Window.partitionBy("size").orderBy(F.desc("level")), Window.partitionBy("size")
-    tests = matches.filter("kind = 3").groupBy(F.floor(F.log2(F.greatest(F.col("length"), F.lit(1)))).cast("int").alias("size")).agg(F.count(F.lit(1)).alias("tests"))
+    # classes of lengths are those of the tested runs, that is without the padding at the end
+    padded = F.length(F.regexp_extract("match", "=*$", 0))
+    tests = matches.filter("kind = 3").groupBy(F.floor(F.log2(F.col("length") - padded)).cast("int").alias("size")).agg(F.count(F.lit(1)).alias("tests"))
     limits = (
         by_level.withColumn("found", F.sum("n").over(down))
         .join(tests, "size")

@@ -173,6 +173,16 @@ def test_random_keys_of_letters_only_are_found(spark, messy):
     assert all(clean[i] == "see [SECRET] here" for i, hit in enumerate(found) if hit)
 
 
+def test_padded_random_keys_are_found(spark, messy):
+    """A class of lengths counts the same runs on both sides, whatever padding ends them."""
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    for n in (30, 31, 62, 63, 64):
+        keys = ["".join(rng.choices(letters, k=n)) + "==" for _ in range(20)]
+        got = secrets.report(secrets.findings(messy([(i, f"see {k} here") for i, k in enumerate(keys)]))).collect()
+        assert sum(r["spans"] == f"random:4:{4 + n + 2}" for r in got) >= 18, n
+
+
 def test_redaction(spark, messy):
     rows = list(enumerate(TEXTS)) + [(2, TEXTS[2]), (None, TEXTS[2])]
     docs = messy(rows)
