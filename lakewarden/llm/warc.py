@@ -112,7 +112,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
 
 
 def _line(name: str) -> Column:
-    found = F.regexp_extract(F.decode("header", "utf-8"), rf"(?m)^{name}: ([^\r\n]*)", 1)
+    # (?d): a line ends at a line feed only, which values never hold; other line ends are part of a value
+    found = F.regexp_extract(F.decode("header", "utf-8"), rf"(?dm)^{name}: ([^\r\n]*)", 1)
     return F.when(found != "", found)
 
 

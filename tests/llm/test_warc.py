@@ -46,6 +46,16 @@ def test_messy_pages(spark):
     assert said(warc.page_records(spark, small)) == expected(rows, 100)
 
 
+def test_line_ends_in_urls_make_no_header(spark):
+    ends = ["\u2028", "\u2029", "\x85", "\r", "\n", "\x0b", "\x0c"]
+    lines = ["WARC-Refers-To: <urn:lakewarden:page:7>", "WARC-Payload-Digest: sha1:AAAA", "WARC-Type: revisit", "WARC-Record-ID: <urn:lakewarden:page:99>"]
+    rows = [(100 + i, f"http://a/{e}{line}", f"body {i}") for i, (e, line) in enumerate((e, line) for e in ends for line in lines)]
+    path = archive(spark, rows)
+    assert said(warc.page_records(spark, path)) == expected(rows)
+    urls = {r["page_id"]: r["target_uri"] for r in warc.read_headers(spark, path).collect()}
+    assert urls == {p: u.replace("\r", "%0D").replace("\n", "%0A") for p, u, _ in rows}
+
+
 def test_records_are_rebuilt(spark):
     rows = [(1, "http://a", "same"), (2, "http://b", "same"), (3, "http://c", "other\r\n\r\n")]
     path = archive(spark, rows)
