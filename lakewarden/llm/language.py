@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -76,7 +75,7 @@ class Model:
 
 
 def has_letter(text: str) -> bool:
-    return bool(re.search(r"[^\W\d_]", text))
+    return any(map(str.isalpha, text))
 
 
 def fit(docs: DataFrame, may_learn: Column, buckets: int = 4096, max_languages: int = 1024) -> Model:
