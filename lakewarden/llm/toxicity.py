@@ -36,7 +36,7 @@ THREATS = "kill hurt destroy burn shoot stab töten umbringen tuer frapper matar
 CLAUSES = bytes(
     b + 32 if 65 <= b <= 90 else 1 if b in b".!?;\n" else b if b >= 128 or 97 <= b <= 122 or b == 39 else 32 for b in range(256)
 )
-#: "targeted" and "threat" have their target before them, "aimed" and "aimed_threat" anywhere in the clause.
+#: All but "negated" and "reported" count what is neither; "targeted" and "threat" have their target before them, "aimed" and "aimed_threat" anywhere in the clause.
 FEATURES = ("plain", "negated", "reported", "targeted", "threat", "strongest", "count", "aimed", "aimed_threat")
 
 
@@ -130,12 +130,15 @@ class Model:
                 if symbol < THREAT:
                     continue
                 negated, reported, targeted = (a != b for a, b in zip(state, start, strict=True))
+                meant = not (negated or reported)
                 if symbol == THREAT:
-                    out[4] += targeted and not negated
-                    threats += not negated
+                    out[4] += targeted and meant
+                    threats += meant
                     continue
                 weight = (symbol - INSULT + 1) / 2
                 out[1 if negated else 2 if reported else 0] += weight
+                if not meant:
+                    continue
                 out[3] += weight * targeted
                 out[5] = max(out[5], weight)
                 out[6] += 1

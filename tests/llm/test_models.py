@@ -113,6 +113,19 @@ def test_targets_after_threats_and_insults_count():
     assert kind("a grotling. you are")["aimed"] == 0
 
 
+def test_reported_and_negated_matches_count_as_such_only():
+    model = toxicity.Model({b"grotling": 4.0}, np.zeros(len(toxicity.FEATURES)), 0.0)
+    kind = lambda text: dict(zip(toxicity.FEATURES, model.matches(text), strict=True))
+    assert kind("he will kill them")["aimed_threat"] > 0 and not any(kind("he said he will kill them").values())
+    for text, only in (("he said you are a grotling", "reported"), ("you are not a grotling", "negated")):
+        assert {k for k, v in kind(text).items() if v} == {only}
+
+
+def test_digits_and_fractions_are_no_letters():
+    assert not any(map(language.has_letter, ["", "²½", "12 34", "Ⅷ ٣", "_-_", "…!"]))
+    assert all(map(language.has_letter, ["a", "12é", "ß", "中", "ª"]))
+
+
 def test_threats_before_their_target_are_learned(spark, messy):
     rng = random.Random(4)
     verbs = toxicity.THREATS.split()
