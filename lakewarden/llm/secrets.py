@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lakewarden.llm.common import stored
+from lakewarden.llm.common import parted, stored
 
 #: The patterns of the base kinds, in order of listing.
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -210,5 +210,9 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     ))
     rest = F.substring(text, last["end"].cast("int") + 1, F.length(text))
     clean = F.when(F.col("spans").isNull(), text).otherwise(F.concat(F.array_join(before, mark), F.lit(mark), rest))
-    joined = doc.join(spans, "text_key", "left").withColumn("merged", merged)
-    return joined.select(*((clean if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
+    # texts without spans stay where they are
+    maybe, clear = parted(doc, spans, "text_key")
+    joined = maybe.join(spans, "text_key", "left").withColumn("merged", merged)
+    names = docs.columns
+    changed = joined.select(*((clean if c == "text" else F.col(f"doc.`{c}`")).alias(c) for c in names))
+    return clear.select("doc.*").union(changed)
