@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.llm import decontaminate, near_dups, packing, secrets, toxicity
-from lakewarden.llm.common import stored, table
+from lakewarden.llm.common import discard, scratch, shared_folder, stored, table, without
 from lakewarden.llm.queries import tokenizer_path, toxicity_model
 
 
@@ -37,7 +37,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     doc_id = F.col("doc.doc_id").cast("long")
     order = F.struct(doc_id.isNull().alias("none"), doc_id.alias("doc_id"), "tie", "row")
     leads = groups.join(rows.select("row", order.alias("order")), "row").groupBy("component_id").agg(F.min("order").alias("lead"))
-    return rows.join(stored(leads.select("lead.row"), "leads"), "row", "left_semi").select("doc.*")
+    leads = stored(leads.select("lead.row"), "leads")
+    # ids alone say which rows go, so that texts of the others stay where they are
+    dropped = stored(rows.select("row").join(leads, "row", "left_anti"), "dropped-rows")
+    return without(rows, dropped, "row").select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +49,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
     found = decontaminate.hits(keyed, table(spark, sf_dir, "benchmark"))
     leaked = stored(found.filter("contaminated").select(F.col("doc_id").alias("key")).distinct(), "contaminated")
-    return _whole(docs, key=F.xxhash64("text")).join(leaked, "key", "left_anti").select("doc.*")
+    return without(_whole(docs, key=F.xxhash64("text")), leaked, "key").select("doc.*")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +60,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document cut and packed into sequences of 1024 ids."""
     # a smaller word cache than a job of its own has: the workers have served other stages before
-    return packing.pack(docs, tokenizer_path(), cache_size=100_000).drop("ids")
+    return packing.pack(docs, tokenizer_path(), cache_size=100_000, with_ids=False)
 
 
 STAGES = [
@@ -72,8 +75,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result is written and read again. Once it is, the
+    tables that led to it are deleted, those of the stage and the result before."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        folder = shared_folder(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.parquet(folder)
+        docs = spark.read.schema(result.schema).parquet(folder)
+        if before is not None:
+            discard(spark, before)
+        before = folder
     return docs
