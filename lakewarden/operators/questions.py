@@ -45,27 +45,50 @@ def words(text: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(kept, fold)))
 
 
-def rank_metrics(questions: DataFrame, metrics: DataFrame) -> DataFrame:
-    """(bag, metric_id, name, score, rank) for every distinct word set of
-    `questions` (column question). Join back on `bag = words(question)`.
+def _rank_sets(questions: DataFrame, metrics: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bag, used) for every distinct word set of `questions` that shares a word with a
+    metric, and (bag, metric_id, name, score, rank) for every distinct `used`, as bag.
 
-    A name word counts two and a description word one; ties rank by name.
-    Questions with equal words are scored once.
+    Words that no metric has (numbers, quoted values) score nothing, so word sets that
+    differ in them only are scored once: what is scored grows with the catalog's words,
+    not with the questions.
     """
     bags = questions.select(words("question").alias("bag")).distinct()
     weighed = metrics.select("id", "name", F.explode(words("name")).alias("word"), F.lit(2).alias("weight")).unionByName(
         metrics.select("id", "name", F.explode(words("description")).alias("word"), F.lit(1).alias("weight"))
     )
     index = weighed.groupBy("word", "id", "name").agg(F.sum("weight").alias("weight"))
-    scored = (
+    used = (
         bags.select("bag", F.explode("bag").alias("word"))
+        .join(weighed.select("word").distinct(), "word", "left_semi")
+        .groupBy("bag")
+        .agg(F.array_sort(F.collect_list("word")).alias("used"))
+    )
+    scored = (
+        used.select(F.col("used").alias("bag")).distinct()
+        .select("bag", F.explode("bag").alias("word"))
         .join(index, "word")
         .groupBy("bag", F.col("id").alias("metric_id"), "name")
         .agg(F.sum("weight").alias("score"))
     )
     # One group holds at most the catalog's metrics.
     order = Window.partitionBy("bag").orderBy(F.desc("score"), "name", "metric_id")
-    return scored.withColumn("rank", F.row_number().over(order))
+    return used, scored.withColumn("rank", F.row_number().over(order))
+
+
+def _per_bag(used: DataFrame, of_sets: DataFrame) -> DataFrame:
+    """What was found for sets of catalog words, for every word set that uses them."""
+    return used.join(of_sets.withColumnRenamed("bag", "used"), "used").drop("used")
+
+
+def rank_metrics(questions: DataFrame, metrics: DataFrame) -> DataFrame:
+    """(bag, metric_id, name, score, rank) for every distinct word set of
+    `questions` (column question). Join back on `bag = words(question)`.
+
+    A name word counts two and a description word one; ties rank by name.
+    Questions with equal catalog words are scored once.
+    """
+    return _per_bag(*_rank_sets(questions, metrics))
 
 
 def shortlist(ranked: DataFrame) -> DataFrame:
@@ -156,7 +179,8 @@ def route_questions(questions: DataFrame, metrics: DataFrame, *, max_chars: int
     approved = metrics.filter(F.col("status") == "approved")
     if max_chars is not None:
         questions = questions.withColumn("question", F.substring("question", 1, max_chars))
-    chosen = shortlist(rank_metrics(questions, approved))
+    used, ranked = _rank_sets(questions, approved)
+    chosen = _per_bag(used, shortlist(ranked))
     looked = questions.withColumn("bag", words("question")).join(chosen, "bag", "left")
     specs = approved.select(F.col("id").alias("__id"), "template", "params", "status")
     sure = looked.filter(F.col("confident")).join(specs, F.col("top.metric_id") == F.col("__id"))
