@@ -42,7 +42,7 @@ def edge_key() -> Column:
         F.struct(*[F.col(f"{side}_{part}").alias(part) for part in ("datasource_id", "table", "column")])
         for side in ("from", "to")
     ]
-    return F.array_sort(F.array(*ends))
+    return F.array(F.least(*ends), F.greatest(*ends))
 
 
 def edge_id() -> Column:

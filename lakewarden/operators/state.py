@@ -5,7 +5,7 @@ Each transition returns the next snapshot; write it to a new table version.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewarden.operators.joins import EDGE, RELATIONSHIP, edge_id, edge_key, structural_edges
@@ -64,6 +64,40 @@ def upsert_relationships(state: DataFrame, incoming: DataFrame, now: Column) ->
     )
 
 
+def add_candidates(state: DataFrame, candidates: list[DataFrame], now: Column) -> DataFrame:
+    """What `upsert_relationships` gives for several frames one after another, where no frame
+    holds an edge twice and none holds a structural fact: known edges are kept, others are
+    created by the first frame that has them.
+
+    Such rows need neither folding nor old values, so only edges meet, sorted by their
+    hashes. An edge that the state itself holds k times leaves k rows for each of them.
+    """
+    key = ["hash", "edge"]
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("edge", edge_key()).withColumn("hash", F.xxhash64("edge"))
+
+    known = keyed(state)
+    copies = F.count(F.lit(1)).over(Window.partitionBy(*key))
+    kept = known.withColumn("copies", copies).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")))
+    out = kept.select(*STATE, F.lit("kept").alias("change"))
+    before: list[DataFrame] = []
+    for rows in candidates:
+        rows = keyed(rows.select(*RELATIONSHIP))
+        fresh = rows.join(known.select(*key), key, "left_anti")
+        for earlier in before:
+            # Edges of both, so that the larger frame is looked through and need not be sorted.
+            fresh = fresh.join(earlier.select(*key).join(rows.select(*key), key, "left_semi"), key, "left_anti")
+        before.append(rows)
+        out = out.unionByName(
+            fresh.select(
+                edge_id().alias("id"), *EDGE, "kind", "source", F.lit("candidate").alias("status"), "confidence", "rationale",
+                now.alias("created_at"), now.alias("updated_at"), F.lit("created").alias("change"),
+            )
+        )
+    return out
+
+
 def sync_structural(state: DataFrame, datasource_ids: DataFrame, foreign_keys: DataFrame, now: Column) -> DataFrame:
     """Reconcile foreign keys of rediscovered sources: add or upgrade the
     current ones, drop structural rows whose key is gone. Adds `change`."""

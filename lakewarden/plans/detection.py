@@ -3,13 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
-from lakewarden.operators.joins import (
-    RELATIONSHIP, detect_candidates, edge_key, mine_query_log, strongest_first,
-)
-from lakewarden.operators.state import STATE, outstanding_proposals, prune_candidates, upsert_relationships
-from lakewarden.session import cut_lineage
+from lakewarden.operators.joins import detect_candidates, mine_query_log, strongest_first
+from lakewarden.operators.state import add_candidates, outstanding_proposals, prune_candidates
 
 
 def detect_run(
@@ -20,20 +16,10 @@ def detect_run(
     joins. All of them are kept, unless the caller gives the length of a review
     queue: then the strongest fill what is left of it."""
     pruned = prune_candidates(state, columns_meta)
-    guesses = detect_candidates(columns_meta).withColumn("ord", F.lit(0))
-    first = cut_lineage(upsert_relationships(pruned, guesses, now))
+    guesses = detect_candidates(columns_meta)
     mined = mine_query_log(audit, columns_meta, latest=latest)
     if queue_cap is not None:
-        waiting = outstanding_proposals(first, metrics).first()["outstanding"]
+        # Guesses are no drafts, so they do not wait in the queue.
+        waiting = outstanding_proposals(pruned, metrics).first()["outstanding"]
         mined = mined.orderBy(*strongest_first()).limit(max(0, queue_cap - waiting))
-    second = upsert_relationships(first.select(*STATE), mined.select(*RELATIONSHIP, F.lit(0).alias("ord")), now)
-    # A row new in the first step stays "created" after the second.
-    before = first.select(edge_key().alias("edge"), F.col("change").alias("__before"))
-    return (
-        second.withColumn("edge", edge_key())
-        .join(before, "edge", "left")
-        .withColumn("change", F.when(F.col("change") == "kept", F.coalesce("__before", "change")).otherwise(F.col("change")))
-        .select(*STATE, "change")
-    )
-
-
+    return add_candidates(pruned, [guesses, mined], now)
