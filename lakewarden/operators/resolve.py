@@ -148,7 +148,7 @@ def _overlap_matches(left: DataFrame, right: DataFrame, rows_per_salt: int) -> D
         # A set has at most a few dozen words, so regrouping it is bounded.
         return (
             sets.select(*keep, F.explode("words").alias("word"))
-            .join(vocabulary(other), "word", "left_semi")
+            .join(_by_size(vocabulary(other)), "word", "left_semi")
             .groupBy(*keep)
             .agg(F.array_sort(F.collect_list("word")).alias("used"))
             .filter(F.size("used") >= MIN_OVERLAP)
@@ -171,7 +171,7 @@ def _overlap_matches(left: DataFrame, right: DataFrame, rows_per_salt: int) -> D
     )
     # A right key holds one row per set size, so a hot subset on the left adds
     # no output; adaptive execution splits such a partition by its size.
-    by_subset = left_keys.join(right_keys, "subset").filter(
+    by_subset = left_keys.join(_by_size(right_keys), "subset").filter(
         F.size("subset") >= _needed(F.col("n"), F.col("k"))
     )
     found = by_subset.select("bag", F.size("subset").alias("shared"), "right_norm")
@@ -180,7 +180,7 @@ def _overlap_matches(left: DataFrame, right: DataFrame, rows_per_salt: int) -> D
         found = found.unionByName(_long_overlaps(left_used, right_used, rows_per_salt))
     best = found.groupBy("bag").agg(F.min(F.struct((-F.col("shared")).alias("rank"), "right_norm")).alias("b"))
     best = best.select("bag", (-F.col("b.rank")).alias("shared"), "b.right_norm")
-    return left_names.select("norm", "bag").join(best, "bag").select("norm", "right_norm", "shared")
+    return left_names.select("norm", "bag").join(_by_size(best), "bag").select("norm", "right_norm", "shared")
 
 
 def _long_overlaps(left_used: DataFrame, right_used: DataFrame, rows_per_salt: int) -> DataFrame:
@@ -240,8 +240,26 @@ def match_entities(left: DataFrame, right: DataFrame, *, rows_per_salt: int = RO
     right_value, right_variants (variant counts), match_type, confidence,
     rationale. Order by (tier, normalized) for a best-first report.
     """
-    left = cut_lineage(left.select("norm", "value", "n_variants"))
-    right = cut_lineage(right.select("norm", "value", "n_variants"))
+    return _match(*_sides(left, right), rows_per_salt)
+
+
+def match_with_stats(left: DataFrame, right: DataFrame, *, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """`resolution_stats` of `match_entities`; each side is normalised once for both."""
+    left, right = _sides(left, right)
+    return resolution_stats(_match(left, right, rows_per_salt), left, right)
+
+
+def _sides(*sides: DataFrame) -> list[DataFrame]:
+    return [cut_lineage(side.select("norm", "value", "n_variants")) for side in sides]
+
+
+def _by_size(side: DataFrame) -> DataFrame:
+    """A side that grows with the names. What was written keeps the size that the planner
+    guessed from compressed files, so it is never broadcast."""
+    return side.hint("merge")
+
+
+def _match(left: DataFrame, right: DataFrame, rows_per_salt: int) -> DataFrame:
     by_bag = right.groupBy(word_bag("norm").alias("bag")).agg(F.min("norm").alias("bag_match"))
     core = core_name("norm")
     by_core = (
@@ -252,10 +270,10 @@ def match_entities(left: DataFrame, right: DataFrame, *, rows_per_salt: int = RO
     own_core = F.when(F.length(core) >= MIN_NORM, core).otherwise(F.concat(F.lit("\n"), F.col("norm")))
     looked = (
         left.select("norm")
-        .join(right.select("norm", F.col("norm").alias("exact_match")), "norm", "left")
+        .join(_by_size(right.select("norm", F.col("norm").alias("exact_match"))), "norm", "left")
         .withColumns({"bag": word_bag("norm"), "core": own_core})
-        .join(by_bag, "bag", "left")
-        .join(by_core, "core", "left")
+        .join(_by_size(by_bag), "bag", "left")
+        .join(_by_size(by_core), "core", "left")
     )
     first = F.coalesce("exact_match", "bag_match", "core_match")
     tier = F.when(F.col("exact_match").isNotNull(), 0).when(F.col("bag_match").isNotNull(), 1).otherwise(2)
@@ -281,8 +299,8 @@ def match_entities(left: DataFrame, right: DataFrame, *, rows_per_salt: int = RO
     rv = right.select(F.col("norm").alias("right_norm"), F.col("value").alias("right_value"),
                       F.col("n_variants").alias("right_variants"))
     return (
-        both.join(lv, "norm")
-        .join(rv, "right_norm")
+        both.join(_by_size(lv), "norm")
+        .join(_by_size(rv), "right_norm")
         .select(
             "tier", F.col("norm").alias("normalized"), F.col("right_norm").alias("right_normalized"), "left_value",
             "left_variants", "right_value", "right_variants", match_type.alias("match_type"),
