@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lakewarden.operators import resolve as R
+from lakewarden.session import use_all_cores
 from workload.registry import DERIVED, derive, query
 
 _PARTS = "(SELECT p_partkey AS k, p_name AS w, lower(p_type) AS t, concat('lot', CAST(floor(p_partkey / 3) AS BIGINT)) AS lot FROM {part}) x"
@@ -53,8 +54,8 @@ _MATCHED = f"""WITH {_usable('l', '{vendors_left}')}, {_usable('r', '{vendors_ri
 
 
 def _sides(spark, sf_dir):
-    variants = (R.entity_variants(derive(spark, sf_dir, n), "name", position="k") for n in ("vendors_left", "vendors_right"))
-    return [R.distinct_entities(v) for v in variants]
+    named = (use_all_cores(derive(spark, sf_dir, n)) for n in ("vendors_left", "vendors_right"))
+    return [R.distinct_entities(R.entity_variants(d, "name", position="k")) for d in named]
 
 
 @query("entity_matches", f"{_MATCHED} SELECT * FROM matched")
@@ -69,8 +70,7 @@ def entity_matches(spark, sf_dir):
     (SELECT count(*) FROM l) AS left_distinct, (SELECT count(*) FROM r) AS right_distinct FROM matched""",
 )
 def entity_stats(spark, sf_dir):
-    left, right = _sides(spark, sf_dir)
-    return R.resolution_stats(R.match_entities(left, right), left, right)
+    return R.match_with_stats(*_sides(spark, sf_dir))
 
 
 @query("entity_variants", f"WITH {_usable('l', '{vendors_left}')} SELECT norm, spelling, first_position FROM lu")
