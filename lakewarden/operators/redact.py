@@ -10,7 +10,7 @@ from lakewarden.functions import pii
 from lakewarden.functions.text import col, let, number_text
 
 MAX_CARD_DIGITS = 16
-_LEAVES = "__leaves"
+_BEFORE, _AFTER = "__leaves", "__redacted_leaves"
 
 
 def is_numeric(dtype: T.DataType) -> bool:
@@ -150,20 +150,60 @@ def _named(struct: T.StructType) -> list[tuple[str, T.StructField]]:
     return list(last.items())
 
 
-def _leaves(c: Column, dtype: T.DataType, pick, kind: str) -> list[Column]:
-    """Arrays that together hold pick(leaf) for every leaf it accepts."""
+def _redact_open(c: Column, dtype: T.DataType, numeric: str) -> Column:
+    """As `redact_value`, but nothing is merged yet: fields go by place and maps are arrays
+    of entries, so every leaf is still there to be counted."""
+    if isinstance(dtype, T.StructType):
+        fields = [_redact_open(c[f.name], f.dataType, numeric).alias(f"_{i}") for i, f in enumerate(dtype.fields)]
+        return F.when(c.isNotNull(), F.struct(*fields))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(c, lambda v: _redact_open(v, dtype.elementType, numeric))
+    if isinstance(dtype, T.MapType):
+        of_keys = "string" if numeric in ("variant", "null") and _holds_number(dtype.keyType) else numeric
+        return F.transform(
+            F.map_entries(c),
+            lambda e: F.struct(
+                _redact_open(e["key"], dtype.keyType, of_keys).alias("key"),
+                _redact_open(e["value"], dtype.valueType, numeric).alias("value"),
+            ),
+        )
+    return redact_value(c, dtype, numeric)
+
+
+def _close(c: Column, dtype: T.DataType) -> Column:
+    """A column of `_redact_open` as `redact_value` gives it."""
+    if isinstance(dtype, T.StructType):
+        last = {pii.redact_name(f.name): (i, f) for i, f in enumerate(dtype.fields)}
+        return F.when(c.isNotNull(), F.struct(*[_close(c[f"_{i}"], f.dataType).alias(n) for n, (i, f) in last.items()]))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(c, lambda v: _close(v, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        pairs = F.transform(
+            c,
+            lambda e: F.struct(
+                _close(e["key"], dtype.keyType).alias("key"), _close(e["value"], dtype.valueType).alias("value")
+            ),
+        )
+        return F.map_from_entries(F.transform(F.array(pairs), _last_entry_per_key)[0])
+    return c
+
+
+def _leaves(c: Column, dtype: T.DataType, pick, kind: str, opened: bool = False) -> list[Column]:
+    """Arrays that together hold pick(leaf) for every leaf it accepts; `opened` says that
+    the column is one of `_redact_open`."""
     none = F.array().cast(f"array<{kind}>")
 
     def below(v: Column, *types: tuple[Column, T.DataType]) -> Column:
-        parts = [x for child, t in types for x in _leaves(child, t, pick, kind)]
+        parts = [x for child, t in types for x in _leaves(child, t, pick, kind, opened)]
         return F.concat(none, *parts)
 
     if isinstance(dtype, T.StructType):
-        return [x for f in dtype.fields for x in _leaves(c[f.name], f.dataType, pick, kind)]
+        fields = [(c[f"_{i}"] if opened else c[f.name], f.dataType) for i, f in enumerate(dtype.fields)]
+        return [x for child, t in fields for x in _leaves(child, t, pick, kind, opened)]
     if isinstance(dtype, T.ArrayType):
         return [F.coalesce(F.flatten(F.transform(c, lambda v: below(v, (v, dtype.elementType)))), none)]
     if isinstance(dtype, T.MapType):
-        pairs = F.map_entries(c)
+        pairs = c if opened else F.map_entries(c)
         both = F.transform(pairs, lambda e: below(e, (e["key"], dtype.keyType), (e["value"], dtype.valueType)))
         return [F.coalesce(F.flatten(both), none)]
     leaf = pick(c, dtype)
@@ -174,6 +214,18 @@ def _leaf_text(c: Column, dtype: T.DataType) -> Column | None:
     return as_text(c, dtype) if isinstance(dtype, _TEXT_LIKE) else None
 
 
+def _leaf_redacted(c: Column, dtype: T.DataType) -> Column | None:
+    return c if isinstance(dtype, _TEXT_LIKE) else None
+
+
+def _new_marks(kind: str) -> Column:
+    """How many marks of a type the leaves hold now and did not before. No pattern can match
+    a mark or part of one, so marks only come with the values they replace."""
+    mark = pii.token(kind)
+    before, after = (f"(length({x}) - length(replace({x}, '{mark}', ''))) div {len(mark)}" for x in (_BEFORE, _AFTER))
+    return F.expr(f"if({_BEFORE} = {_AFTER}, 0L, {after} - {before})")
+
+
 def _leaf_hits(c: Column, dtype: T.DataType) -> Column | None:
     return numeric_hits(c, dtype) if may_hold_card(dtype) else None
 
@@ -207,22 +259,32 @@ def redact(df: DataFrame, *, numeric: str = "variant", counts: str | None = None
     df = df.toDF(*[f"__{i}" for i in range(len(names))])
     texts = {f.name: as_text(F.col(f.name), f.dataType) for f in df.schema.fields if isinstance(f.dataType, (T.BinaryType, T.VariantType))}
     df = df.withColumns(texts) if texts else df
-    flat, leaves, hits = [], [], []
+    flat, leaves, redacted, hits = [], [], [], []
+    opened: dict[str, Column] = {}
     replaced: dict[str, Column] = {}
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
             flat.append(f.name)
         elif is_numeric(f.dataType) or isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
-            replaced[f.name] = redact_value(c, f.dataType, numeric)
-            leaves += _leaves(c, f.dataType, _leaf_text, "string")
+            own = _leaves(c, f.dataType, _leaf_text, "string") if counts else []
+            if own:
+                # Redacted once, for the value and for the counts.
+                opened[f"{f.name}_open"] = _redact_open(c, f.dataType, numeric)
+                whole = F.col(f"`{f.name}_open`")
+                redacted += _leaves(whole, f.dataType, _leaf_redacted, "string", opened=True)
+                replaced[f.name] = _close(whole, f.dataType)
+            else:
+                replaced[f.name] = redact_value(c, f.dataType, numeric)
+            leaves += own
             hits += _leaves(c, f.dataType, _leaf_hits, "bigint") if numeric != "skip" else []
-    out = df
-    if counts and leaves:
-        # Leaves are counted as one text: no pattern can match across a NUL.
-        out = out.withColumn(_LEAVES, F.array_join(F.concat(*leaves), "\0"))
-        flat = [*flat, _LEAVES]
-    out = pii.redact_columns(out, flat, counts=counts)
+    out = pii.redact_columns(df, flat, counts=counts)
+    if opened:
+        out = out.withColumns(opened)
+        # Marks are counted in all leaves as one text.
+        out = out.withColumns({name: F.array_join(F.concat(*of), "\0") for name, of in ((_BEFORE, leaves), (_AFTER, redacted))})
+        both = [(F.col(counts)[t] + F.coalesce(_new_marks(t), F.lit(0).cast("bigint"))).alias(t) for t in pii.PII_TYPES]
+        out = out.withColumn(counts, F.struct(*both))
     if counts and hits:
         cards = F.aggregate(F.concat(*hits), F.lit(0).cast("bigint"), lambda a, n: a + n)
         out = out.withColumn(counts, F.col(counts).withField("credit_card", F.col(counts)["credit_card"] + cards))

@@ -168,3 +168,22 @@ def test_free_text_is_cut_then_redacted(spark):
 def test_free_text_is_whole_by_default(spark):
     row = spark.createDataFrame([("x" * 900 + " a@example.com",)], "t string").select(redact_free_text("t").alias("t")).first()
     assert row.t == "x" * 900 + " [REDACTED:email]"
+
+
+def test_nested_texts_are_redacted_once(spark):
+    """Counts come from the redacted values, merged map entries and old marks included."""
+    schema = "user struct<email:string,name:string>, notes array<string>, by_mail map<string,struct<a:string,b:bigint>>, t string"
+    rows = [
+        ({"email": "bob@corp.io", "name": "[REDACTED:email] 123-45-6789"}, ["10.0.0.1 and 4532015112830366", None, "a@b.co [REDACTED:ssn"],
+         {"a@x.com": {"a": "555-123-4567", "b": 4532015112830366}, "b@x.com": {"a": "x", "b": 1}}, "c@d.io"),
+        (None, None, None, None),
+        ({"email": None, "name": "plain"}, [], {}, "plain"),
+    ]
+    out = redact(spark.createDataFrame(rows, schema), counts="c")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[REDACTED:phone]") <= 3 + 7  # one pass for each nested column, flat texts and counts
+    got = out.collect()
+    assert [tuple(r.c) for r in got] == [(5, 1, 1, 2, 1), (0,) * 5, (0,) * 5]
+    assert got[0].user.name == "[REDACTED:email] [REDACTED:ssn]" and got[0].notes[2] == "[REDACTED:email] [REDACTED:ssn"
+    assert list(got[0].by_mail) == ["[REDACTED:email]"] and got[0].by_mail["[REDACTED:email]"].a == "x"
+    assert got[1].user is None and got[1].notes is None and got[1].by_mail is None and got[2].user.name == "plain"
