@@ -31,6 +31,21 @@ def test_added_tokens_and_long_texts(encoder):
         assert encoder(text) == whole(encoder, text)
 
 
+def test_a_known_word_with_marks_is_not_merged_again():
+    encoder = TokenIds(tokenizer_path())
+    encoder("so quayside harbour\u00e9 x"), encoder("quayside")
+
+    class Merges:
+        def tokenize(self, text):
+            raise AssertionError(f"merged again: {text}")
+
+    merging, encoder.model = encoder.model, Merges()
+    for text in ("so quayside, harbour\u00e9; x!?", "quayside. x"):
+        assert encoder(text) == whole(encoder, text)
+    encoder.model = merging
+    assert encoder("so newquay, \u00e9t\u00e9.") == whole(encoder, "so newquay, \u00e9t\u00e9.")
+
+
 @given(st.lists(st.integers(0, 5000), min_size=1, max_size=300))
 @settings(max_examples=100, deadline=None)
 def test_elias_fano_selects_and_decodes(steps):
