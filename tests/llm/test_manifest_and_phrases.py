@@ -109,3 +109,34 @@ def test_phrases_of_messy_rows(spark, messy, order, slots):
 def test_counts_stay_in_the_jvm(spark, messy):
     plan = collocations.phrase_counts(messy([(1, "a b c")]), 3, 10)._jdf.queryExecution().executedPlan()
     assert "MapInArrow" not in plan.toString() and "Python" not in plan.toString()
+
+
+@pytest.mark.parametrize("order, codes", [(3, 1 << 18), (3, 768), (3, 0), (4, 768)])
+def test_words_without_a_code_are_counted_as_well(spark, messy, order, codes):
+    """Few codes or none, langs with spaces and words in several of them: the same phrases."""
+    word = lambda j: f"{'wé'[j % 2]}{j * j % 300}"
+    text = lambda i: " ".join(word((i % 40) * 7 + j % 9) + ("." if j % 11 == 10 else "") for j in range(30))
+    rows = [(i, text(i), ("en", None, "x y", "", " z")[i // 40 % 5]) for i in range(800)]
+    got = collocations.collocations(messy(rows), order, least=5, top=500, codes=codes)
+    expected = sorted(expected_phrases([(i, t, "und" if g is None else g or "\0") for i, t, g in rows], order, 5, 500))
+    assert len(expected) > 500 and sorted(map(tuple, got.collect())) == sorted((g.strip("\0"), *more) for g, *more in expected)
+
+
+def test_codes_have_a_fixed_size(spark, messy):
+    """Long words get no code, codes stay within their bits, and phrases are whole all the same."""
+    rows = [(i, f"a {'long' * 30} word, a {'long' * 30} word or b{i % 4}", "en") for i in range(40)]
+    codes = [r["code"] for r in collocations.word_counts(messy(rows), 5, 1 << 40).filter("size = 1 and length(phrase) < 60").collect()]
+    assert len(codes) == len(set(codes)) == 7 and max(codes) < 1 << 21
+    assert collocations.word_counts(messy(rows), 5, 1 << 18).filter("size = 1 and code is null").select("phrase").collect() == [("long" * 30,)]
+    got = collocations.collocations(messy(rows), least=5, top=20)
+    assert sorted(map(tuple, got.collect())) == sorted(expected_phrases(rows, 3, 5, 20))
+
+
+def test_counted_phrases_are_shuffled_as_numbers(spark, messy):
+    rows = messy([(i, "some phrase of ordinary words, and some more of it", "en") for i in range(20)])
+    words = collocations.word_counts(rows, 10, 1 << 18).localCheckpoint()
+    nothing = spark.createDataFrame([], "slot long")
+    plan = collocations.longer_counts(rows, 3, words.filter("code is not null"), collocations.slot_bits(nothing), None, 10, 1 << 20)
+    assert plan.columns == ["k0", "spelled", "f"] and {tuple(r)[1:] for r in plan.collect()} == {(None, 20)}
+    moved = [x for x in plan._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning(k0" in x]
+    assert moved and all("w0" not in x for x in moved)
